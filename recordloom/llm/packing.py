@@ -9,6 +9,7 @@ length and its rank within that length, counted in two levels.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,38 +27,59 @@ from .state import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a worker keeps; at the bound it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 1_000_000
 
 _PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-class _Memo(dict):
-    """word -> its ids as little-endian bytes. Tokens never span white space, so a text's ids are those of its words."""
+#: Lower-casing of A-Z, and punctuation right after a letter or digit, which gets a space before it.
+#: The tokenizer lower-cases and cuts there anyway, so both leave the ids as they are and make fewer distinct words.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_EDGE = re.compile(rb"[.,!?;:&%#$*|](?<=(?:[ -~][a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf]).)")
+
+
+class Encoder:
+    """Ids of texts, by their words: tokens never span white space, so a text's ids are those of its words in turn.
+
+    Words new to a slice of texts are encoded together; up to WORDS_KEPT stay known.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.known.clear()
+            new = words
+        new = list(new)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            coded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(coded.ids, "<u4")
+            first = np.searchsorted(np.asarray(coded.word_ids, np.int64), np.arange(len(some) + 1)) * 4
+            raw = ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, first[:-1].tolist(), first[1:].tolist(), strict=True))
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = self[word] = np.asarray(ids, "<u4").tobytes()
-        return out
+    def encode(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
+        """For each UTF-8 text its ids and the end id, as little-endian unsigned 32-bit numbers."""
+        split = [_EDGE.sub(rb" \g<0>", t.translate(_LOWER)).split() for t in texts]
+        self.learn(set().union(*split))
+        end, known = end_id.to_bytes(4, "little"), self.known
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
 
-_memos: dict[str, _Memo] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encode(data: bytes, path: str, end_id: int = END_ID) -> bytes:
-    """Ids of a UTF-8 text and the end id, as little-endian unsigned 32-bit numbers."""
-    memo = _memos.get(path)
-    if memo is None:
-        memo = _memos[path] = _Memo(path)
-    return b"".join(map(memo.__getitem__, data.split())) + end_id.to_bytes(4, "little")
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +96,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         for batch in batches:
             for at, data, bounds in slices(batch.column(1)):
                 raw, owner, rows, ids = data.tobytes(), [], [], []
-                for i in range(len(bounds) - 1):
-                    coded = encode(raw[bounds[i] : bounds[i + 1]], tokenizer, end_id)
+                texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                for i, coded in enumerate(encoder(tokenizer).encode(texts, end_id)):
                     for k, first in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[first : first + 4 * capacity]
                         owner.append(at + i)
