@@ -186,5 +186,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = _labelled(classes.select("one", "two", "rep"), labels).select("one", "two", "comp")
     if labels is not None:  # a label is the least representative, and a representative the least id of its class
         named = cut_lineage(named)
-    out = signed.drop("bands").join(named, ["one", "two"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")))
+    out = signed.drop("bands").join(named, ["one", "two"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
