@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import ALNUM, CHUNK, U64, Words, mix, windows, word_slices
 from .state import cut_lineage
@@ -108,21 +109,22 @@ def compile_items(items: list[tuple[str, str]], window: int) -> list[tuple[WuMan
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", clean_rows: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Words are maximal runs of digits, letters and non-ASCII characters, A-Z
     lower-cased. A null or empty text has no words and is clean. Benchmark rows
     without an id or without words are ignored; rows that repeat an item count
     once. contaminated: n_hit > 0 and 100 * n_hit >= percent * n_words. Without
-    documents there are no rows, without items all are clean; other columns are ignored.
+    documents there are no rows, without items all are clean; other columns are
+    ignored. With ``clean_rows`` the result is the input's rows that are clean.
     """
     spark = docs.sparkSession
     named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("array<string>").alias("items"))
+    rows = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("array<string>").alias("items"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if clean_rows else []))
     kind = rows.schema["doc_id"].dataType.simpleString()
     for block in range(blocks):
         part = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
@@ -152,15 +154,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
                     lists = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
                     if not final:
                         packed = [np.packbits(hit[words.of(i)]).tobytes() for i in range(n)]
-                        yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(at, n), pa.array(packed, pa.binary()), lists], names=batch.schema.names)
+                        yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(at, n), pa.array(packed, pa.binary()), lists, *(c.slice(at, n) for c in batch.columns[4:])], names=batch.schema.names)
                         continue
                     n_words = np.diff(words.first)
                     n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[words.first])
                     sums = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                     bad = (n_hit > 0) & (100 * n_hit >= percent * n_words)
+                    if clean_rows:
+                        yield pa.RecordBatch.from_arrays([batch.column(4).slice(at, n).filter(pa.array(~bad))], names=["row"])
+                        continue
                     yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sums, pa.string()), pa.array(bad), lists], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
+        if final and clean_rows:
+            return rows.mapInArrow(search, T.StructType([rows.schema["row"]])).select("row.*")
         if final:
             return rows.mapInArrow(search, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
         rows = cut_lineage(rows.mapInArrow(search, rows.schema))
     raise AssertionError
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; see decontaminate."""
+    return decontaminate(docs, benchmark, window, percent, clean_rows=True)
