@@ -1,0 +1,135 @@
+"""The log-record contract: validation, flattening and console lines."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.lanes import lane
+
+# The contract's fields.
+REQUIRED = {"timestamp": "str", "level": "str", "logger": "str", "message": "str", "file": "str", "func": "str", "line": "int"}
+OPTIONAL = {"exception": "str", "stack": "str", "error_type": "str", "error": "str", "span": "str", "span_id": "str", "parent_span_id": "str", "trace_id": "str", "event": "str", "status": "str", "duration_ms": "number"}
+CHOICES = {"event": ("span.start", "span.end"), "status": ("ok", "error")}
+RESERVED = frozenset((*REQUIRED, *OPTIONAL))
+
+STRUCT = T.StructType(
+    [T.StructField(n, T.LongType() if k == "int" else T.StringType(), False) for n, k in REQUIRED.items()]
+    + [T.StructField(n, T.DoubleType() if k == "number" else T.StringType()) for n, k in OPTIONAL.items()]
+    + [T.StructField("extra", T.VariantType())]
+)
+
+
+def invalid_reason(v: Column) -> Column:
+    """The first reason that a record breaks the contract, null for a valid one."""
+    reason = F.when(F.lit(False), "")
+    for name in REQUIRED:
+        reason = reason.when(~lane(v, (name,)).present, f"missing required field: {name}")
+    for name, kind in (REQUIRED | OPTIONAL).items():
+        x = lane(v, (name,))
+        right = {"str": x.string.isNotNull(), "int": x.kind == "int", "number": x.number}[kind]
+        reason = reason.when(x.present & ~right, f"invalid type for field: {name}")
+        if name in CHOICES:
+            reason = reason.when(x.present & ~x.string.isin(*CHOICES[name]), f"invalid value for field: {name}")
+    return reason
+
+
+def validated(records: DataFrame) -> DataFrame:
+    """Records with ``reason``."""
+    return records.withColumn("reason", invalid_reason(F.col("v")))
+
+
+def typed(records: DataFrame) -> DataFrame:
+    """Valid records as columns of the contract, further keys in ``extra``."""
+    v = F.col("v")
+    columns = []
+    for field in STRUCT.fields[:-1]:
+        x = lane(v, (field.name,))
+        columns.append({"string": x.string, "bigint": x.integer.cast("bigint"), "double": x.double}[field.dataType.simpleString()].alias(field.name))
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    extra = F.to_variant_object(F.map_filter(members, lambda k, _: ~k.isin(*RESERVED)))
+    return records.where(invalid_reason(v).isNull()).select("_ord", *columns, extra.alias("extra"))
+
+
+def json_schema() -> dict:
+    """The contract as a JSON schema."""
+    kinds = {"str": "string", "int": "integer", "number": "number"}
+    properties = {n: {"type": kinds[k]} | ({"enum": list(CHOICES[n])} if n in CHOICES else {}) for n, k in (REQUIRED | OPTIONAL).items()}
+    return {"type": "object", "required": list(REQUIRED), "properties": properties, "additionalProperties": True}
+
+
+def free_name(name: str, taken) -> str:
+    while name in taken:
+        name = f"ctx_{name}"
+    return name
+
+
+def flatten(fixed: Mapping, context: Mapping) -> dict:
+    """Fixed keys first; a context key that is reserved or taken is renamed ``ctx_...`` until it is free."""
+    out = dict(fixed)
+    for key, value in context.items():
+        out[free_name(key, RESERVED | out.keys())] = value
+    return out
+
+
+def merged_context(bound: Column, span: Column, call: Column) -> Column:
+    """Call fields over span fields over bound fields (maps)."""
+    lower = F.map_filter(span, lambda k, _: ~F.map_contains_key(call, k))
+    least = F.map_filter(bound, lambda k, _: ~F.map_contains_key(call, k) & ~F.map_contains_key(span, k))
+    return F.map_concat(least, lower, call)
+
+
+def flatten_keys(context: Column) -> Column:
+    """A map with reserved keys renamed; ``ctx_`` repeats while the new name is a key as well."""
+
+    def renamed(key: Column) -> Column:
+        names = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.concat(F.repeat(F.lit("ctx_"), n), key))
+        free = F.filter(names, lambda n: ~F.map_contains_key(context, n))
+        return F.when(key.isin(*sorted(RESERVED)), F.element_at(free, 1)).otherwise(key)
+
+    return F.transform_keys(context, lambda k, _: renamed(k))
+
+
+def timestamp_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def console_line(v: Column) -> Column:
+    """``timestamp LEVEL logger  message  k=v...`` with further keys in order."""
+
+    def text(name):
+        return F.coalesce(lane(v, (name,)).string, F.lit(""))
+
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    rest = F.array_sort(F.map_keys(F.map_filter(members, lambda k, _: ~k.isin(*RESERVED))))
+    pairs = F.transform(rest, lambda k: F.concat(k, F.lit("="), F.coalesce(F.try_variant_get(F.element_at(members, k), "$", "string"), F.lit("null"))))
+    return F.rtrim(F.concat_ws("  ", F.concat_ws(" ", text("timestamp"), F.rpad(text("level"), 7, " "), text("logger")), text("message"), F.concat_ws(" ", pairs)))
+
+
+def visible_controls(text: Column) -> Column:
+    """Line feeds, tabs and returns spelled out, other control characters as a replacement mark."""
+    spelled = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n", r"\\\\n"), "\t", r"\\\\t"), "\r", r"\\\\r")
+    return F.regexp_replace(spelled, r"[\x00-\x1f\x7f-\x9f]", "�")
+
+
+def encode_value(value):
+    """What JSON lacks: times as ISO text, sets as lists, enums by value, other objects as text."""
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    if isinstance(value, Mapping):
+        return {str(k): encode_value(x) for k, x in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return [encode_value(x) for x in (sorted(value, key=repr) if isinstance(value, (set, frozenset)) else value)]
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    if isinstance(value, BaseException):
+        return repr(value)
+    return encode_value(value.value) if hasattr(value, "value") and hasattr(type(value), "__members__") else str(value)
+
+
+def json_line(fixed: Mapping, context: Mapping) -> str:
+    return json.dumps(encode_value(flatten(fixed, context)), ensure_ascii=False)
