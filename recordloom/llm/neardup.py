@@ -5,19 +5,19 @@ with equal sets form a class, which its least id represents. Bands of a
 representative's signature put it into buckets. At 6 rows and 48 bands, two sets
 of Jaccard similarity 0.8 share no bucket with a probability of 5e-7.
 
-Within a bucket, candidates form stars, never all pairs: the bucket's least id
-is the first centre. Candidates are confirmed on full sets, and components of
-confirmed links are contracted. Members that are not yet in one component then
-become centres in turn, a bounded number in each bucket and round, until every
-bucket has one component or every member that could still link two components
-has been a centre. So no link between documents in a bucket is lost, and a
-bucket's candidates per round stay in proportion to its members.
+Within a bucket, candidates form stars around its least id, never all pairs.
+They are confirmed on full sets, the likeliest edge of each member first, and
+components of confirmed links are contracted. Where members of a bucket are then
+still in several components, the buckets that share members form a block. In a
+block every document outside its largest component is compared with all others
+of the block, in tiles of bounded size: an inverted index over a tile's shingles
+counts the intersections, and only links leave the task. So no link between
+documents that share a bucket is lost, and no pairs are written out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from .kernel import SPACED, OnePermutation, list_array, mix, shingle_sets, word_
 from .state import cut_lineage
 
 BANDS, ROWS = 48, 6
-#: Centres that a bucket may have in one later round.
-CENTRES = 16
+#: Documents and bytes of shingle hashes in one side of a tile, about.
+TILE_ROWS, TILE_BYTES = 1024, 8 << 20
 
 
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -96,6 +96,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
 
 
+def _links_of(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of a tile's documents to the components of its others: one for each document and component."""
+    outer = np.array(table.column("outer").to_pylist(), bool)
+    reps, comps = (table.column(c).to_numpy() for c in ("rep", "comp"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+    own, others = np.flatnonzero(outer), np.flatnonzero(~outer)
+    sizes = np.array([len(sets[i]) for i in others], np.int64)
+    every = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in others)])
+    owner = np.repeat(np.arange(len(others)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    a, b = [], []
+    for i in own:
+        first, last = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        count = last - first
+        place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+        common = np.bincount(owner[place], minlength=len(others))
+        hit = np.flatnonzero((100 * common >= percent * (sizes + len(sets[i]) - common)) & (comps[others] != comps[i]))
+        hit = hit[np.unique(comps[others[hit]], return_index=True)[1]]
+        a += [int(reps[i])] * len(hit)
+        b += reps[others[hit]].tolist()
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _within_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among rows (a, rep, comp), a being the least member of a bucket of rep."""
+    blocks = components(open_.select("a", F.col("rep").alias("b"))).toDF("rep", "block")
+    held = open_.select("rep", "comp").distinct().join(blocks, "rep").join(sets.select("rep", "n"), "rep")
+    held = cut_lineage(held)
+    parts = held.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    whole = parts.groupBy("block").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.max(F.struct("m", "comp", "size")).alias("most"), F.sum("m").alias("m"), F.sum("size").alias("size"))
+
+    def tiles(rows, size):
+        return F.ceil(F.greatest(rows / TILE_ROWS, size * 8 / TILE_BYTES, F.lit(1.0))).cast("long")
+
+    whole = whole.select("block", "major", tiles(F.col("m") - F.col("most.m"), F.col("size") - F.col("most.size")).alias("outers"), tiles(F.col("m"), F.col("size")).alias("inners"))
+    held = held.join(whole, "block").withColumn("lot", F.abs(F.xxhash64("rep")))
+    outer = held.where("comp <> major").select("block", "rep", "comp", F.lit(True).alias("outer"), (F.col("lot") % F.col("outers")).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("inners") - 1)).alias("i"))
+    inner = held.select("block", "rep", "comp", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1)).alias("o"), (F.col("lot") % F.col("inners")).alias("i"))
+    laid = outer.union(inner).join(sets.select("rep", "hashes"), "rep")
+    return cut_lineage(laid.groupBy("block", "o", "i").applyInArrow(lambda table: _links_of(table, percent), "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node reachable over links (a, b), by label propagation and pointer jumping."""
     ways = cut_lineage(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).where("node <> to").distinct())
@@ -166,22 +209,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
     labels = _relabel(labels, _confirmed(rest, sets, percent))
 
-    tested = [stars.select("a", "b")]
-    members = members.where("rep <> centre").select("band", "rep")  # a centre has met all others
-    while True:
-        open_ = _labelled(members, labels)
-        mixed = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        open_ = cut_lineage(open_.join(mixed, "band"))
-        if open_.isEmpty():
-            break
-        centres = open_.where("comp <> major").groupBy("band", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)).alias("lot")).agg(F.min("rep").alias("rep")).select("band", "rep")
-        centres = cut_lineage(centres)
-        named = centres.join(open_.select("band", "rep", "comp"), ["band", "rep"]).toDF("band", "x", "cx")
-        pairs = named.join(open_, "band").where("cx <> comp").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-        pairs = cut_lineage(pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"))
-        tested.append(pairs)
-        labels = _relabel(labels, _confirmed(pairs, sets, percent))
-        members = cut_lineage(open_.select("band", "rep").join(centres, ["band", "rep"], "left_anti"))
+    # A centre has met all others of its bucket; what remains is between those.
+    open_ = _labelled(members.where("rep <> centre").select("band", "rep"), labels)
+    mixed = open_.groupBy("band").agg(F.min("rep").alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "a")
+    open_ = cut_lineage(open_.join(mixed, "band").select("a", "rep", "comp").distinct())
+    if not open_.isEmpty():
+        labels = _relabel(labels, _within_blocks(open_, sets, percent))
 
     named = _labelled(classes.select("one", "two", "rep"), labels).select("one", "two", "comp")
     if labels is not None:  # a label is the least representative, and a representative the least id of its class
