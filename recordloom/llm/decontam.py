@@ -123,8 +123,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("array<string>").alias("items"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if clean_rows else []))
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if clean_rows else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("array<string>").alias("items"), *whole)
     kind = rows.schema["doc_id"].dataType.simpleString()
     for block in range(blocks):
         part = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
