@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, neardup, packing, pii, quality, sharding, substring, toxicity, urlfilter
+from . import decontam, fingerprint, neardup, packing, pii, quality, sharding, sql, substring, toxicity, urlfilter
 from .state import table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)

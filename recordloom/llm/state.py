@@ -1,73 +1,19 @@
-"""Where intermediate results go, and small helpers the operators share."""
+"""Small helpers that the operators share."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut_lineage
 
-_written: dict[str, SparkSession] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where none is set (as in tests), one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again.
-
-    Lost executors cost no recomputation, and a loop's plans stay small: unlike
-    a checkpoint, the table brings no constraints of former plans along. Tables
-    go when the driver's process ends, or earlier by ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/recordloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clear)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._recordloom_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut_lineage wrote and that no DataFrame in use reads."""
-    for df in tables:
-        _delete(df._recordloom_path)
-
-
-def _delete(path: str) -> None:
-    spark = _written.pop(path, None)
-    if spark is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _clear() -> None:
-    for path in list(_written):
-        with contextlib.suppress(Exception):  # the session may have ended
-            _delete(path)
+__all__ = ["cut_lineage", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(rows, bytes of text), by one scan."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0).cast("long"))).first()
