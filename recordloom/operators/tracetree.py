@@ -91,11 +91,12 @@ def build_tree(records: DataFrame) -> TraceTree:
         F.when(~x["trace_id"].present, "untraced").when(trace.isNull(), "invalid trace identifier")
         .when(~x["span_id"].present, "span not identified").when(span.isNull(), "invalid span identifier")
     )
-    seen = records.select(
+    seen = records.select(  # written once: what a record tells is small beside it
         "_ord", trace.alias("trace"), F.when(trace.isNotNull(), span).alias("span"), evidence.alias("evidence"), F.coalesce(event == "span.start", F.lit(False)).alias("is_start"), F.coalesce(event == "span.end", F.lit(False)).alias("is_end"),
         F.coalesce(end_ok, F.lit(False)).alias("end_ok"), x["status"].string.alias("status"), x["duration_ms"].double.alias("duration_ms"), rank.alias("rank"), F.to_json(label).alias("label_json"), Lane(label).string.alias("label"),
         kind.alias("parent_kind"), F.when(kind == "id", parent.string).when(kind == "invalid", F.to_json(parent.x)).alias("parent_value"),
     )
+    seen = cut_lineage(seen)
     leaves = seen.select("_ord", F.when(F.col("span").isNotNull(), _key(F.col("trace"), F.col("span"))).when(F.col("trace").isNotNull(), _key(F.col("trace"))).otherwise(ROOT).alias("parent"), "evidence")
     traced = seen.where("trace is not null")
     traces = traced.groupBy("trace").agg(F.min("_ord").alias("first"), F.count_if(F.col("span").isNull()).alias("record_count"))
@@ -110,9 +111,9 @@ def build_tree(records: DataFrame) -> TraceTree:
         F.max_by(F.struct("status", "duration_ms"), F.when(F.col("is_end"), F.col("_ord"))).alias("last"),
         F.min_by("label", F.when(F.col("rank").isNotNull(), F.struct("rank", "_ord"))).alias("label"),
         F.min("rank").alias("best_rank"),
-        *[F.count_distinct(F.when(F.col("rank") == r, F.col("label_json"))).alias(f"names{r}") for r in (0, 1)],
-        F.count_distinct(F.to_json(told)).alias("parents"),
+        *[(F.min(F.when(F.col("rank") == r, F.col("label_json"))) != F.max(F.when(F.col("rank") == r, F.col("label_json")))).alias(f"names{r}") for r in (0, 1)],
         F.min(told).alias("told"),
+        F.max(told).alias("told_last"),
     )
     lifecycle = (
         F.when((F.col("starts") == 0) & (F.col("ends") == 0), "unavailable")
@@ -120,14 +121,14 @@ def build_tree(records: DataFrame) -> TraceTree:
         .when((F.col("starts") == 1) & (F.col("ends") == 1), "complete").otherwise("incomplete")
     )
     relation = (
-        F.when(F.col("parents") == 0, "parent not observed").when(F.col("parents") > 1, "conflicting parents")
+        F.when(F.col("told").isNull(), "parent not observed").when(~F.col("told").eqNullSafe(F.col("told_last")), "conflicting parents")
         .when(F.col("told.parent_kind") == "root", "root").when(F.col("told.parent_kind") == "id", "parent observed").otherwise(F.concat(F.col("told.parent_kind"), F.lit(" parent")))
     )
     done = F.col("lifecycle") == "complete"
     spans = (
         spans.withColumn("lifecycle", lifecycle).withColumn("relationship", relation)
         .withColumn("status", F.when(done, F.col("last.status"))).withColumn("duration_ms", F.when(done, F.col("last.duration_ms")))
-        .withColumn("label", F.coalesce("label", "span")).withColumn("name_conflict", F.when(F.col("best_rank") == 0, F.col("names0") > 1).when(F.col("best_rank") == 1, F.col("names1") > 1).otherwise(False))
+        .withColumn("label", F.coalesce("label", "span")).withColumn("name_conflict", F.when(F.col("best_rank") == 0, F.col("names0")).when(F.col("best_rank") == 1, F.col("names1")).otherwise(False))
         .withColumn("up", F.when(F.col("relationship") == "parent observed", F.col("told.parent_value")))
     )
     spans = cut_lineage(spans.select("trace", "span", "first", "record_count", "label", "name_conflict", "lifecycle", "status", "duration_ms", "relationship", "up"))
@@ -148,7 +149,7 @@ def build_tree(records: DataFrame) -> TraceTree:
             F.lit("unavailable").alias("lifecycle"), none.cast("string").alias("status"), none.cast("double").alias("duration_ms"), F.lit(False).alias("name_conflict"), F.lit(0).cast("long").alias("record_count"),
         )
     )
-    return TraceTree(nodes, leaves)
+    return TraceTree(cut_lineage(nodes), leaves)
 
 
 def _on_cycle(edges: DataFrame) -> DataFrame:

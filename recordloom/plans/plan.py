@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ToolError
 from ..expressions import And, Expression, Field, Not, Or, lower
-from ..functions.exact import exact_sums
+from ..functions.exact import exact_sums, exponent, rounded, units
 from ..functions.lanes import Lane, lane
 from ..sources.records import Records, read_records
 
@@ -352,35 +352,45 @@ def grouped(df: DataFrame, keys: dict[str, Lane], specs: dict[str, tuple[str, La
             values |= {f"_d{n}": F.when(ok, x.double), f"_i{n}": F.when(ok, x.integer), f"_r{n}": F.when(ok, x.residual), f"_v{n}": F.when(ok, x.x), f"_b{n}": x.present & ~x.is_null & ~ok}
     base = df.select("_ord", *[c.alias(n) for n, c in (ids | values).items()])
     bad_key = reduce(lambda a, b: a | b, (F.col(f"_k{n}").isin("array", "object", "other") for n in range(len(keys))), F.lit(False))
-    aggs = [F.min("_ord").alias("_first"), F.count_if(bad_key).alias("_bad_key")]
-    aggs += [F.min_by(f"_x{n}", "_ord").alias(f"_x{n}") for n in range(len(keys))]
-    exact = []
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    # Each result as (column, aggregate over rows, aggregate over those).
+    steps = [("_first", F.min("_ord"), F.min("_first").alias("_first")), ("_bad_key", F.count_if(bad_key), total("_bad_key"))]
+    steps += [(f"_x{n}", F.min_by(f"_x{n}", "_ord"), F.min_by(f"_x{n}", "_first").alias(f"_x{n}")) for n in range(len(keys))]
+    sums: dict[int, int] = {}  # a spec that needs an exact sum, and the first spec over the same lane
     for n, (_, (op, x)) in enumerate(specs.items()):
-        if x is None:
-            aggs.append(F.count(F.lit(1)).alias(f"_out{n}"))
-            continue
-        aggs.append(F.count_if(f"_b{n}").alias(f"_bad{n}"))
+        if x is not None:
+            steps.append((f"_bad{n}", F.count_if(f"_b{n}"), total(f"_bad{n}")))
         if op == "count":
-            aggs.append(F.count(F.lit(1)).alias(f"_out{n}"))
+            steps.append((f"_out{n}", F.count(F.lit(1)), total(f"_out{n}")))
         elif op in ("sum", "mean"):
-            aggs += [F.count(f"_d{n}").alias(f"_n{n}"), F.count(f"_i{n}").alias(f"_ni{n}"), F.sum(f"_i{n}").alias(f"_si{n}")]
-            exact.append(n)
+            sums[n] = next((m for m in sums if list(specs.values())[m][1] is x), n)
+            steps += [(c, f(v), total(c)) for c, f, v in ((f"_n{n}", F.count, f"_d{n}"), (f"_ni{n}", F.count, f"_i{n}"), (f"_si{n}", F.sum, f"_i{n}"))]
         else:
-            pick = F.min_by if op == "min" else F.max_by
-            tie = F.col("_ord") if op == "min" else -F.col("_ord")
-            aggs.append(pick(f"_v{n}", F.when(F.col(f"_d{n}").isNotNull(), F.struct(F.col(f"_d{n}"), F.col(f"_r{n}"), tie))).alias(f"_out{n}"))
-    out = base.groupBy(*names).agg(*aggs)
-    for n in exact:
-        sums = exact_sums(base, names, f"_d{n}", f"_sd{n}")
-        out = out.join(sums, names, "left") if names else out.crossJoin(F.broadcast(sums))  # one row
+            pick, best, tie = (F.min_by, F.min, F.col("_ord")) if op == "min" else (F.max_by, F.max, -F.col("_ord"))
+            rank = F.when(F.col(f"_d{n}").isNotNull(), F.struct(F.col(f"_d{n}").alias("d"), F.col(f"_r{n}").alias("r"), tie.alias("o")))
+            steps += [(f"_at{n}", best(rank), best(f"_at{n}").alias(f"_at{n}")), (f"_out{n}", pick(f"_v{n}", rank), pick(f"_out{n}", f"_at{n}").alias(f"_out{n}"))]
+    lead = next(iter(sums), None)
+    if lead is None:
+        out = base.groupBy(*names).agg(*[one.alias(c) for c, one, _ in steps])
+    else:
+        # The first exact sum rides along: its units add up by exponent, and groups gather their few exponents.
+        d = F.col(f"_d{lead}")
+        first = base.groupBy(*names, exponent(d).alias("_e")).agg(*[one.alias(c) for c, one, _ in steps], F.sum(units(d)).alias("_units"))
+        parts = F.collect_list(F.when(F.col("_units").isNotNull(), F.struct(F.col("_e").alias("exponent"), F.col("_units").cast("string").alias("units"))))
+        out = first.groupBy(*names).agg(*[two for _, _, two in steps], parts.alias("_parts"))
+        out = out.withColumn(f"_sd{lead}", rounded("_parts"))
+    for n in sorted(set(sums.values()) - {lead}):
+        more = exact_sums(base, names, f"_d{n}", f"_sd{n}")
+        out = out.join(more, names, "left") if names else out.crossJoin(F.broadcast(more))  # one row
+    for n, m in sums.items():
         whole = F.col(f"_n{n}") == F.col(f"_ni{n}")
         small = F.abs(F.col(f"_si{n}")) < F.lit(Decimal(2**63))
         as_int = F.when(small, F.col(f"_si{n}").cast("bigint").cast("variant")).otherwise(F.col(f"_si{n}").cast("variant"))
         if list(specs.values())[n][0] == "sum":
-            value = F.when(F.col(f"_n{n}") == 0, F.lit(0).cast("bigint").cast("variant")).when(whole, as_int).otherwise(F.col(f"_sd{n}").cast("variant"))
+            value = F.when(F.col(f"_n{n}") == 0, F.lit(0).cast("bigint").cast("variant")).when(whole, as_int).otherwise(F.col(f"_sd{m}").cast("variant"))
         else:
-            total = F.when(whole, F.col(f"_si{n}").cast("double")).otherwise(F.col(f"_sd{n}"))
-            value = F.when(F.col(f"_n{n}") > 0, (total / F.col(f"_n{n}")).cast("variant"))
+            mean = F.when(whole, F.col(f"_si{n}").cast("double")).otherwise(F.col(f"_sd{m}"))
+            value = F.when(F.col(f"_n{n}") > 0, (mean / F.col(f"_n{n}")).cast("variant"))
         out = out.withColumn(f"_out{n}", value)
     shown = [F.col(f"_x{n}").alias(k) for n, k in enumerate(keys)]
     shown += [(F.col(f"_out{n}") if (op != "count") else F.col(f"_out{n}").cast("variant")).alias(name) for n, (name, (op, _)) in enumerate(specs.items())]
@@ -391,7 +401,8 @@ def grouped(df: DataFrame, keys: dict[str, Lane], specs: dict[str, tuple[str, La
 def _aggregated(state: _State, i: int, op: Aggregate, checks: list | None) -> _State:
     v = F.col("v")
     keys = {k: lane(v, (k,)) for k in op.keys}
-    specs = {n: (s.op, lane(v, s.path) if s.path else None) for n, s in op.specs}
+    lanes = {s.path: lane(v, s.path) for _, s in op.specs if s.path}
+    specs = {n: (s.op, lanes.get(s.path)) for n, s in op.specs}
     out = grouped(state.df, keys, specs)
     bads = [c for c in out.columns if c.startswith("_bad")]
     if checks is not None:
