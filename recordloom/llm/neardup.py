@@ -121,9 +121,9 @@ def _links_of(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _within_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components among rows (a, rep, comp), a being the least member of a bucket of rep."""
-    blocks = components(open_.select("a", F.col("rep").alias("b"))).toDF("rep", "block")
-    held = open_.select("rep", "comp").distinct().join(blocks, "rep").join(sets.select("rep", "n"), "rep")
+    """Links between components among rows (low, rep, comp), low being the least component of a bucket of rep."""
+    blocks = components(open_.where("low <> comp").select(F.col("low").alias("a"), F.col("comp").alias("b")).distinct()).toDF("comp", "block")
+    held = open_.select("rep", "comp").distinct().join(blocks, "comp").join(sets.select("rep", "n"), "rep")
     held = cut_lineage(held)
     parts = held.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
     whole = parts.groupBy("block").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.max(F.struct("m", "comp", "size")).alias("most"), F.sum("m").alias("m"), F.sum("size").alias("size"))
@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # A centre has met all others of its bucket; what remains is between those.
     open_ = _labelled(members.where("rep <> centre").select("band", "rep"), labels)
-    mixed = open_.groupBy("band").agg(F.min("rep").alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "a")
-    open_ = cut_lineage(open_.join(mixed, "band").select("a", "rep", "comp").distinct())
+    mixed = open_.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("high")
+    open_ = cut_lineage(open_.join(mixed, "band").select("low", "rep", "comp").distinct())
     if not open_.isEmpty():
         labels = _relabel(labels, _within_blocks(open_, sets, percent))
 
