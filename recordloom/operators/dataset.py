@@ -18,7 +18,7 @@ from ..errors import ToolError
 from ..expressions import Expression, lower
 from ..functions.lanes import lane
 from ..plans.plan import METRICS, grouped, plain
-from ..sources.records import decode, expand, read_lines
+from ..sources.records import concatenated, decode, expand, read_lines
 from . import discovery, tracetree
 from . import search as searching
 
@@ -156,9 +156,7 @@ class Investigation:
         lines, _ = read_lines(spark, listed)
         big = F.octet_length("value") > limits.max_record_bytes
         decoded = decode(lines).withColumn("reason", F.when(big, "record_too_large").otherwise(F.col("reason")))
-        from ..sources.records import _numbered
-
-        good = _numbered(decoded.where("reason is null"), ["source_idx", "position"], "concat")
+        good = concatenated(decoded.where("reason is null"))
         good.select("_ord", "source", F.col("source_idx").alias("occurrence"), F.col("position").alias("line"), F.col("value").alias("raw")).write.parquet(f"{snapshot}/records")
         decoded.where("reason <> 'blank'").select("source", F.col("source_idx").alias("occurrence"), F.col("position").alias("line"), "reason").write.parquet(f"{snapshot}/diagnostics")
         if [list(file_digest(p)) for p in listed] != before:

@@ -17,7 +17,7 @@ from .language import parse_filter
 from .operators import contract, dataset, discovery, tracetree
 from .operators import search as searching
 from .plans.plan import QueryPlan, count_rows, max_of, mean_of, min_of, scan, sum_of
-from .sources.records import ORIGIN, numbered_by, timestamp
+from .sources.records import ORIGIN, merge_keys, numbered_by, timestamp
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -274,31 +274,26 @@ _MERGED = """WITH s AS (SELECT event_id, user_id % 3 AS src, CASE WHEN event_id
 
 
 def _time_sources(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window as W
-
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stamp = F.when(F.col("event_id") % 10 != 9, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    rows = events.select(F.col("event_id"), (F.col("user_id") % 3).alias("src"), timestamp(stamp).alias("ts"))
-    before = W.partitionBy("src").orderBy("event_id")
-    return rows.withColumn("key", F.max("ts").over(before.rowsBetween(W.unboundedPreceding, 0))).withColumn("prior", F.last("ts", True).over(before.rowsBetween(W.unboundedPreceding, -1)))
+    rows = events.select("event_id", (F.col("user_id") % 3).alias("source_idx"), F.floor(F.col("event_id") / 1000).alias("_block"), F.col("event_id").alias("position"), timestamp(stamp).alias("_ts"))
+    return merge_keys(rows)
 
 
 @query("time_merge", f"{_MERGED} SELECT event_id, row_number() OVER (ORDER BY key NULLS FIRST, src, event_id) - 1 AS place FROM p")
 def _time_merge(spark, sf_dir):
-    return numbered_by(_time_sources(spark, sf_dir), [F.col("key").asc_nulls_first(), "src", "event_id"]).select("event_id", F.col("_ord").alias("place"))
+    return numbered_by(_time_sources(spark, sf_dir), [F.col("_key").asc_nulls_first(), "source_idx", "event_id"]).select("event_id", F.col("_ord").alias("place"))
 
 
 @query("time_merge_warnings", f"{_MERGED} SELECT src, count_if(ts < prior) AS out_of_order, count_if(ts IS NULL) AS untimestamped FROM p GROUP BY src")
 def _time_warnings(spark, sf_dir):
-    return _time_sources(spark, sf_dir).groupBy("src").agg(F.count_if(F.col("ts") < F.col("prior")).alias("out_of_order"), F.count_if(F.col("ts").isNull()).alias("untimestamped"))
+    return _time_sources(spark, sf_dir).groupBy(F.col("source_idx").alias("src")).agg(F.count_if(F.col("_ts") < F.col("_last")).alias("out_of_order"), F.count_if(F.col("_ts").isNull()).alias("untimestamped"))
 
 
 @query("concat_sources", "SELECT event_id, row_number() OVER (ORDER BY user_id % 3, event_id) - 1 AS place FROM events")
 def _concat(spark, sf_dir):
-    from .sources.records import _numbered
-
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 3).alias("source_idx"), F.col("event_id").alias("position"))
-    return _numbered(rows, ["source_idx", "position"], "concat").select("event_id", F.col("_ord").alias("place"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 3).alias("source_idx"))
+    return numbered_by(rows, ["source_idx", "event_id"]).select("event_id", F.col("_ord").alias("place"))
 
 
 # Investigations.

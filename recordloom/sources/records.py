@@ -95,20 +95,22 @@ def timestamp(text: Column) -> Column:
 
 
 def _lines_of_file(spark: SparkSession, path: str, idx: int) -> DataFrame:
-    # File order: splits by their start, rows within a split as read. Numbers count physical lines.
+    """Physical lines with their numbers, without a shuffle: a split's rows are consecutive, so its least id and the counts before it give them."""
     df = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    parts = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = df.withColumn("_row", F.row_number().over(W.partitionBy("_block").orderBy("_at"))).join(F.broadcast(parts), "_block")  # a row per split
-    return numbered.select(F.lit(idx).alias("source_idx"), F.lit(path).alias("source"), F.lit("file").alias("kind"), (F.col("_before") + F.col("_row")).alias("position"), "value")
+    parts = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = df.join(F.broadcast(parts), "_block")  # a row per split
+    position = F.col("_before") + F.col("_at") - F.col("_least") + 1
+    return numbered.select(F.lit(idx).alias("source_idx"), F.lit(path).alias("source"), F.lit("file").alias("kind"), "_block", position.alias("position"), "value")
 
 
 def _lines_of_rows(spark: SparkSession, rows: list[tuple[int, str]], label: str, kind: str, idx: int) -> DataFrame:
-    df = spark.createDataFrame(rows, "position long, value string")
-    return df.select(F.lit(idx).alias("source_idx"), F.lit(label).alias("source"), F.lit(kind).alias("kind"), "position", "value")
+    df = spark.createDataFrame(rows, "position long, value string").coalesce(1)
+    return df.select(F.lit(idx).alias("source_idx"), F.lit(label).alias("source"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("_block"), "position", "value")
 
 
 def read_lines(spark: SparkSession, sources) -> tuple[DataFrame, list[str]]:
-    """source_idx, source, kind, position, value for all sources, and their labels."""
+    """source_idx, source, kind, _block (split), position, value for all sources, and their labels."""
     frames, labels, memory = [], [], 0
     for idx, source in enumerate(resolve(sources)):
         if isinstance(source, str) and source == "-":
@@ -158,31 +160,36 @@ def read_records(spark: SparkSession, sources, order: str = "concat") -> Records
     warnings = None
     if order == "time":
         ts = timestamp(F.when(F.schema_of_variant(F.try_variant_get("v", "$.timestamp", "variant")) == "STRING", F.try_variant_get("v", "$.timestamp", "string")))
-        before = W.partitionBy("source_idx").orderBy("position")
-        good = good.withColumn("_ts", ts)
-        good = good.withColumn("_key", F.max("_ts").over(before.rowsBetween(W.unboundedPreceding, 0))).withColumn("_last", F.last("_ts", True).over(before.rowsBetween(W.unboundedPreceding, -1)))
+        good = merge_keys(good.withColumn("_ts", ts))
         counted = good.groupBy("source_idx", "source").agg(F.count_if(F.col("_ts") < F.col("_last")).alias("out_of_order"), F.count_if(F.col("_ts").isNull()).alias("untimestamped"))
         warnings = counted
-    keys = ["source_idx", "position"] if order == "concat" else [F.col("_key").asc_nulls_first(), "source_idx", "position"]
-    placed = _numbered(good, keys, order)
+    placed = concatenated(good) if order == "concat" else numbered_by(good, [F.col("_key").asc_nulls_first(), "source_idx", "position"])
     df = placed.select("_ord", F.struct("source", "position", "kind").cast(ORIGIN).alias("_origin"), F.col("value").alias("raw"), "v")
     return Records(df, skipped, order, warnings, labels)
 
 
-def _numbered(rows: DataFrame, keys: list, order: str) -> DataFrame:
-    """Adds the global place ``_ord`` from 0.
+def merge_keys(rows: DataFrame) -> DataFrame:
+    """Adds ``_key`` (the latest ``_ts`` of the source up to the row) and ``_last`` (the one before the row).
 
-    Concatenated sources need no global sort: counts of source chunks give each
-    chunk's first place. A merge is range-partitioned by Spark's own sort.
+    Splits are summed up first, so no window is longer than a split.
     """
-    if order == "concat":
-        chunk = F.floor(F.col("position") / 100_000)
-        rows = rows.withColumn("_chunk", chunk)
-        counts = rows.groupBy("source_idx", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("source_idx", "_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        local = F.row_number().over(W.partitionBy("source_idx", "_chunk").orderBy("position"))
-        return rows.withColumn("_local", local).join(counts, ["source_idx", "_chunk"]).withColumn("_ord", F.col("_first") + F.col("_local") - 1)
-    return numbered_by(rows, keys)
+    split = ["source_idx", "_block"]
+    sums = rows.groupBy(*split).agg(F.max("_ts").alias("_most"), F.max_by("_ts", F.when(F.col("_ts").isNotNull(), F.col("position"))).alias("_end"))
+    earlier = W.partitionBy("source_idx").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*split, F.max("_most").over(earlier).alias("_most"), F.last("_end", True).over(earlier).alias("_end"))
+    within = W.partitionBy(*split).orderBy("position")
+    rows = rows.withColumn("_own", F.max("_ts").over(within.rowsBetween(W.unboundedPreceding, 0))).withColumn("_prior", F.last("_ts", True).over(within.rowsBetween(W.unboundedPreceding, -1)))
+    joined = rows.join(F.broadcast(sums), split)  # a row per split
+    return joined.withColumn("_key", F.greatest("_own", "_most")).withColumn("_last", F.coalesce("_prior", "_end")).drop("_own", "_prior", "_most", "_end")
+
+
+def concatenated(rows: DataFrame) -> DataFrame:
+    """Adds ``_ord`` from 0 by source and split without moving a row: within a split rows are read in order."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    counts = placed.groupBy("source_idx", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("source_idx", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    joined = placed.join(F.broadcast(counts), ["source_idx", "_block"])  # a row per split
+    return joined.withColumn("_ord", F.col("_first") + F.col("_at") - F.col("_least"))
 
 
 def numbered_by(rows: DataFrame, keys: list) -> DataFrame:
