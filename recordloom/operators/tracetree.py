@@ -153,14 +153,17 @@ def build_tree(records: DataFrame) -> TraceTree:
 
 
 def _on_cycle(edges: DataFrame) -> DataFrame:
-    """(key) of the nodes on cycles of a function node -> to, by doubling until only cycles are left to reach."""
+    """(key) of the nodes on cycles of a partial function node -> to.
+
+    What f composed m times still reaches shrinks as m doubles. Once it does not
+    shrink, f permutes it, so it is just the cycles; often after two rounds.
+    """
     jump = cut_lineage(edges)
-    step = jump
-    total, reach = jump.count(), 1
-    while reach <= 2 * total:
+    reached = None
+    while True:
+        now = jump.select("to").distinct().count()
+        if now in (0, reached):
+            return jump.select(F.col("to").alias("key")).distinct()
+        reached = now
         ahead = jump.toDF("to", "far")
         jump = cut_lineage(jump.join(ahead, "to").select("node", F.col("far").alias("to")))
-        reach *= 2
-        if jump.isEmpty():
-            break
-    return jump.select(F.col("to").alias("key")).distinct().join(step.select(F.col("node").alias("key")), "key", "left_semi")
