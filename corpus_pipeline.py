@@ -34,8 +34,11 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token ids, kept with each piece, into sequences of at most 2048."""
-    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
+    """Packs token ids, kept with each piece, into sequences of at most 2048.
+
+    Workers outlive the stage, so they keep fewer words than in packing alone.
+    """
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True, words_kept=150_000)
 
 
 STAGES = [

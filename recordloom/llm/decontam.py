@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, CHUNK, U64, Words, mix, windows, word_slices
-from .state import cut_lineage
+from .kernel import ALNUM, U64, Words, mix, windows, word_slices
+from .state import bounded_batches, cut_lineage
 
 WINDOW = 13
 #: Benchmark text that is searched in one pass over the documents; more takes more passes.
@@ -124,7 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if clean_rows else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("array<string>").alias("items"), *whole)
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("array<string>").alias("items"), *whole)
     kind = rows.schema["doc_id"].dataType.simpleString()
     for block in range(blocks):
         part = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         def search(batches: Iterator[pa.RecordBatch], shared=shared, final=final) -> Iterator[pa.RecordBatch]:
             tables = shared.value
             for batch in batches:
-                for at, words in word_slices(batch.column(1), ALNUM, True, 2 * CHUNK):
+                for at, words in word_slices(batch.column(1), ALNUM, True):
                     n = len(words)
                     covers, items = batch.column(2).slice(at, n), [set(x or ()) for x in batch.column(3).slice(at, n).to_pylist()]
                     change = np.zeros(len(words.hashes) + 1, np.int32)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _WBASE = 0xC2B2AE3D27D4EB4F
@@ -185,7 +185,7 @@ class OnePermutation:
         return ((mix(seed) >> U64(32)) * U64(self.bins) >> U64(32)).astype(np.int64)
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
-        """For sorted distinct hashes, at least one."""
+        """For sorted hashes, at least one; repeats change nothing."""
         out = np.zeros(self.bins, U64)
         at = ((hashes >> U64(32)) * U64(self.bins) >> U64(32)).astype(np.int64)
         lead = np.flatnonzero(np.diff(at, prepend=-1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .state import bounded_batches
+
 #: Labelled rows that a model is fitted on, at most; which ones a hash of the id decides.
 SAMPLE_ROWS = 12_000
 
@@ -21,5 +23,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SA
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.groupBy(F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"), F.max("label").alias("label")).drop("_t")

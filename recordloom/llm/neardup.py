@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACED, OnePermutation, list_array, mix, shingle_sets, word_slices
-from .state import cut_lineage
+from .state import bounded_batches, cut_lineage
 
 BANDS, ROWS = 48, 6
 #: Documents and bytes of shingle hashes in one side of a tile, about.
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reachable over links; ``kept`` marks the row with that id. An empty table
     gives no rows; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut_lineage(_signatures(source, k, bands, rows))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(usable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))

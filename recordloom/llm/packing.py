@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 
 from .bestfit import plan_by_class
 from .kernel import slices
-from .state import cut_lineage
+from .state import bounded_batches, cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words whose ids a worker keeps; at the bound it starts anew.
+#: Distinct words whose ids a worker keeps, some 200 bytes each; at the bound it starts anew.
 WORDS_KEPT = 1_000_000
 
 _PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -44,16 +44,16 @@ class Encoder:
     Words new to a slice of texts are encoded together; up to WORDS_KEPT stay known.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.keep, self.known = keep, {}
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.known)
-        if len(self.known) + len(new) > WORDS_KEPT:
+        if len(self.known) + len(new) > self.keep:
             self.known.clear()
             new = words
         new = list(new)
@@ -73,23 +73,23 @@ class Encoder:
         return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, keep: int = WORDS_KEPT) -> Encoder:
+    if (path, keep) not in _encoders:
+        _encoders[path, keep] = Encoder(path, keep)
+    return _encoders[path, keep]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS_KEPT) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: id, piece, start, length, ids_crc32 and, if asked, ids.
 
     A null text is empty: its only id is the end id. Rows with equal or null ids
     each give pieces of their own. The tokenizer file is read from ``tokenizer``
     on each executor.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     fields = [source.schema["doc_id"], *_PIECE.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             for at, data, bounds in slices(batch.column(1)):
                 raw, owner, rows, ids = data.tobytes(), [], [], []
                 texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                for i, coded in enumerate(encoder(tokenizer).encode(texts, end_id)):
+                for i, coded in enumerate(encoder(tokenizer, words_kept).encode(texts, end_id)):
                     for k, first in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[first : first + 4 * capacity]
                         owner.append(at + i)
@@ -151,6 +151,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS_KEPT) -> DataFrame:
     """Documents to packed pieces; see token_pieces and pack."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids, id_col, text_col), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids, id_col, text_col, words_kept), capacity)

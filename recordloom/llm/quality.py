@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .kernel import SPACED, cut, slices
 from .labelled import held_out, training_rows
+from .state import bounded_batches
 
 SLOTS = 1 << 15
 FACTORS = 6
@@ -153,7 +154,7 @@ def scores(docs: DataFrame, model: Machine | None, threshold: float = 0.3, id_co
     statistics of an empty text. Without a model every score is 0.5. A null id
     is not held out. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes, whatever the corpus
 

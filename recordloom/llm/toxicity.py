@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
+from .state import bounded_batches
 
 # Look-alikes of Latin letters, digits used as letters, seeds and exceptions.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁɡһкмтвнαεοριυνκτ", "aeopcyxijsdghkmtbhaeopiuvkt", strict=True))
@@ -192,7 +193,7 @@ def scores(docs: DataFrame, model: Lexicon, threshold: float = 0.5, id_col: str
     null id is not held out. Whole texts are matched. An empty table gives no
     rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def flagged(docs: DataFrame, model: Lexicon, threshold: float = 0.5) -> DataFram
     """The documents with a ``toxic`` column (boolean); all their columns stay, one of that name is replaced."""
     from pyspark.sql import types as T
 
-    docs = docs.drop("toxic")
+    docs = bounded_batches(docs).drop("toxic")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
