@@ -1,8 +1,7 @@
 """Lempel-Ziv fingerprints: the distinct phrases of an LZ78 parse of a text, min-hashed.
 
 A phrase is the shortest run of bytes from the present place that is not yet in
-the dictionary. Dictionaries are closed under prefixes, so its length is found
-from the previous phrase's by stepping. Phrases are hashed as spans of the text
+the dictionary, which is a trie. Phrases are hashed as spans of the text
 and one-permutation min-hashing keeps BINS values of 16 bits. The likeness of
 two fingerprints is the share of equal values, an estimate of the Jaccard
 similarity of the phrase sets, as compression distances measure it.
@@ -12,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,37 +20,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import _BASE, _SYMBOL, _WBASE, U64, OnePermutation, inverse, mix, powers
-from .state import text_bytes
+from .state import bounded_batches, text_bytes
 
 BINS = 128
-CELL_BYTES = 16 << 20
+CELL_BYTES = 4 << 20
 LEAST = np.iinfo(np.int64).min
 _HASHER = OnePermutation(BINS)
 
 
-def parse(data: bytes, at: int = 0, known: set[bytes] | None = None) -> tuple[list[int], set[bytes]]:
-    """(ends of the phrases from ``at`` on, dictionary). The last phrase may be an old one."""
-    known = set() if known is None else known
-    ends, n, size = [], len(data), 1
-    add, put = known.add, ends.append
-    while at < n:
-        end = at + size
-        if data[at:end] in known:
-            end += 1
-            while end <= n and data[at:end] in known:
-                end += 1
-            if end > n:
-                put(n)
-                break
-        else:
-            while end - 1 > at and data[at : end - 1] not in known:
-                end -= 1
-            if end > n:
-                end = n
-        add(data[at:end])
-        put(end)
-        size, at = end - at, end
-    return ends, known
+def parse(data: bytes, at: int = 0, trie: dict[int, int] | None = None) -> tuple[list[int], dict[int, int]]:
+    """(ends of the phrases from ``at`` on, the dictionary as a trie). The last phrase may be an old one.
+
+    The trie maps node * 256 + byte to a node. Each new phrase adds one entry, so
+    the first k entries are the dictionary after k phrases.
+    """
+    trie = {} if trie is None else trie
+    ends, node, new = [], 0, len(trie) + 1
+    put, step = ends.append, trie.get
+    for end, byte in enumerate(data[at:] if at else data, at + 1):
+        key = node << 8 | byte
+        node = step(key)
+        if node is None:
+            trie[key] = new
+            new += 1
+            node = 0
+            put(end)
+    if node:
+        put(len(data))
+    return ends, trie
 
 
 def span_hashes(data: bytes, bounds: np.ndarray) -> np.ndarray:
@@ -67,7 +64,7 @@ def span_hashes(data: bytes, bounds: np.ndarray) -> np.ndarray:
 def _signature(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(BINS, ">u2")
-    return (mix(_HASHER.signature(np.unique(hashes))) & U64(0xFFFF)).astype(">u2")
+    return (mix(_HASHER.signature(np.sort(hashes))) & U64(0xFFFF)).astype(">u2")  # repeats change no minimum
 
 
 def fingerprint(text: str | bytes) -> str:
@@ -84,11 +81,12 @@ def likeness(a: str, b: str) -> float:
 class _Print:
     """A text, its parse and signature."""
 
-    __slots__ = ("id", "data", "ends", "hashes", "signature")
+    __slots__ = ("id", "data", "ends", "trie", "hashes", "signature")
 
     def __init__(self, id_, data: bytes):
         self.id, self.data = id_, data
-        self.ends = np.array([0, *parse(data)[0]])
+        ends, self.trie = parse(data)
+        self.ends = np.array([0, *ends])
         self.hashes = span_hashes(data, self.ends)
         self.signature = _signature(self.hashes)
 
@@ -101,9 +99,8 @@ class _Print:
         data = head + given.decode()[:half].encode()
         k = int(np.searchsorted(self.ends, len(head), "right")) - 1
         start = int(self.ends[k])
-        known = {self.data[a:b] for a, b in zip(self.ends[:k].tolist(), self.ends[1 : k + 1].tolist(), strict=True)}
-        rest = parse(data, start, known)[0]
-        more = span_hashes(data[start:], np.array([0, *rest]) - np.array([0, *[start] * len(rest)])) if rest else np.zeros(0, U64)
+        rest = parse(data, start, dict(islice(self.trie.items(), k)))[0]
+        more = span_hashes(data[start:], np.array([start, *rest]) - start)
         return n, data, _signature(np.concatenate((self.hashes[:k], more)))
 
 
@@ -120,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts move once, compressed, into ranges of ids whose bounds are quantiles.
     A range's first document is also sent to the range before it.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LEAST))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LEAST))).alias("key"), F.col(text_col).cast("string").alias("text"))
     count, total = text_bytes(source)
     cells = max(16, -(-total // CELL_BYTES))
     marks = source.agg(F.percentile_approx("key", [k / cells for k in range(1, cells)], 20 * cells)).first()[0] or []
@@ -165,7 +162,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if rows:
             yield emit(rows)
 
-    ranged = source.mapInArrow(send, "cell long, last boolean, key long, packed binary").repartition(max(8, cells), "cell").sortWithinPartitions("cell", "last", "key", "packed")
+    ranged = source.mapInArrow(send, "cell long, last boolean, key long, packed binary").repartition(max(8, cells // 3), "cell").sortWithinPartitions("cell", "last", "key", "packed")
     return ranged.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
