@@ -13,10 +13,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where none is set (as in tests), one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names. Only a local master, as in tests, gets one of our own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordloom-checkpoint-"))
     return sc.getCheckpointDir()
 
