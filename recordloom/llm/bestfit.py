@@ -1,4 +1,9 @@
-"""Best-fit-decreasing: a balanced tree over bins, and a segment tree over capacity classes."""
+"""Best-fit-decreasing over items or over a histogram of sizes.
+
+Open bins with the same room are interchangeable, so a histogram is placed in
+runs: a store of (room, first bin, number of bins) gives the tightest run. The
+store is a balanced tree over the rooms, or a segment tree over capacity classes.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +44,7 @@ class BinTree:
 
     def pop_ceiling(self, size: int):
         """Removes and returns the least key whose remaining capacity is at least ``size``, or None."""
-        left, right = self._split(self.root, (size, -1))
+        left, right = self._split(self.root, (size,))
         if right is None:
             self.root = left
             return None
@@ -67,26 +72,17 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> tuple[list[int],
     return out, bins
 
 
-def fewest_capacity(sizes: list[int], bins: int) -> tuple[list[int], int]:
-    """(bin of each item, capacity): the least capacity, by bisection, at which best fit needs at most ``bins`` bins."""
-    if not sizes:
-        return [], 0
-    low = max(-(-sum(sizes) // bins), max(sizes))
-    best = best_fit_decreasing(sizes, low)
-    if best[1] <= bins:
-        return best[0], low
-    high, reach = low, max(1, low >> 12)
-    while best[1] > bins:
-        low, high, reach = high, high + reach, reach * 2
-        best = best_fit_decreasing(sizes, high)
-    while high - low > max(1, high >> 16):
-        middle = (low + high) // 2
-        tried = best_fit_decreasing(sizes, middle)
-        if tried[1] <= bins:
-            high, best = middle, tried
-        else:
-            low = middle
-    return best[0], high
+class TreeStore:
+    """Runs of open bins in a balanced tree, for capacities of any size."""
+
+    def __init__(self):
+        self.tree = BinTree()
+
+    def take(self, size: int) -> tuple[int, int, int] | None:
+        return self.tree.pop_ceiling(size)
+
+    def put(self, room: int, first: int, have: int) -> None:
+        self.tree.insert((room, first, have))
 
 
 class CapacityTree:
@@ -95,6 +91,7 @@ class CapacityTree:
     def __init__(self, capacity: int):
         self.width = 1 << capacity.bit_length()
         self.sums = [0] * (2 * self.width)
+        self.runs: dict[int, list[tuple[int, int]]] = {}
 
     def add(self, remaining: int, count: int) -> None:
         at = remaining + self.width
@@ -116,37 +113,71 @@ class CapacityTree:
             at >>= 1
         return None
 
+    def take(self, size: int) -> tuple[int, int, int] | None:
+        room = self.tightest(size)
+        if room is None:
+            return None
+        first, have = self.runs[room].pop()
+        self.add(room, -have)
+        return room, first, have
 
-def plan_by_class(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    def put(self, room: int, first: int, have: int) -> None:
+        self.runs.setdefault(room, []).append((first, have))
+        self.add(room, have)
+
+
+def plan_by_class(histogram: dict[int, int], capacity: int, store: TreeStore | CapacityTree | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Best-fit-decreasing over a histogram {size: count}: exactly the bins that placing the items one by one gives.
 
-    Items of one size are interchangeable, and so are open bins with the same
-    room, so whole runs are placed at once. After an item of size s enters a bin
-    of room r, that bin is the tightest again while r - s >= s; hence a bin takes
-    r // s items in a row. Returns rows (size, first rank, first bin, items per
-    bin, first offset), each for a run of ranks within a size, and the number of
-    bins. Its length depends on the capacity, not on the number of items.
+    After an item of size s enters a bin of room r, that bin is the tightest
+    again while r - s >= s; hence a bin takes r // s items in a row. An item
+    above the capacity gets a bin of its own. Returns rows (size, first rank,
+    first bin, items per bin, first offset), each for a run of ranks within a
+    size, and the number of bins. Its length depends on the distinct sizes and
+    open runs, not on the number of items.
     """
-    tree, open_bins, plan, bins = CapacityTree(capacity), {}, [], 0
+    store = CapacityTree(capacity) if store is None else store
+    plan, bins = [], 0
     for size in sorted((s for s, n in histogram.items() if n), reverse=True):
-        left, rank = histogram[size], 0
+        left, rank, limit = histogram[size], 0, max(capacity, size)
         while left:
-            room = tree.tightest(size)
-            each = (capacity if room is None else room) // size
+            found = store.take(size)
+            room = limit if found is None else found[0]
+            each = room // size
             wanted = max(1, left // each)
-            if room is None:
-                room, first, have = capacity, bins, wanted
+            if found is None:
+                first, have = bins, wanted
                 bins += have
             else:
-                first, have = open_bins[room].pop()
+                _, first, have = found
                 if have > wanted:
-                    open_bins[room].append((first + wanted, have - wanted))
+                    store.put(room, first + wanted, have - wanted)
                     have = wanted
-                tree.add(room, -have)
             take = min(each, left)
-            plan.append((size, rank, first, take, capacity - room))
+            plan.append((size, rank, first, take, limit - room))
             rank, left, rest = rank + have * take, left - have * take, room - take * size
             if rest:
-                open_bins.setdefault(rest, []).append((first, have))
-                tree.add(rest, have)
+                store.put(rest, first, have)
     return plan, bins
+
+
+def fewest_capacity(histogram: dict[int, int], bins: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(plan, capacity): the least capacity, by bisection to one part in 65,536, at which best fit needs at most ``bins`` bins."""
+    if not histogram:
+        return [], 0
+    low = max(-(-sum(s * n for s, n in histogram.items()) // bins), max(histogram))
+    plan, need = plan_by_class(histogram, low, TreeStore())
+    if need <= bins:
+        return plan, low
+    high, reach = low, max(1, low >> 12)
+    while need > bins:
+        low, high, reach = high, high + reach, reach * 2
+        plan, need = plan_by_class(histogram, high, TreeStore())
+    while high - low > max(1, high >> 16):
+        middle = (low + high) // 2
+        tried, need = plan_by_class(histogram, middle, TreeStore())
+        if need <= bins:
+            high, plan = middle, tried
+        else:
+            low = middle
+    return plan, high

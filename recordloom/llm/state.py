@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import cut_lineage
+from ..store import cut_lineage, discard
 
-__all__ = ["bounded_batches", "cut_lineage", "table", "text_bytes"]
+__all__ = ["HOT", "bounded_batches", "cut_lineage", "discard", "hot_at", "join_hot", "table", "text_bytes"]
 
 #: Rows in an Arrow batch, at most: with texts or sets of some 100 KB a batch stays below 100 MB.
 BATCH_ROWS = 500
@@ -22,6 +22,27 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: At most so many keys of a table count as hot.
+HOT = 4096
+
+
+def hot_at(rows: int) -> int:
+    """Keys with more rows than this are hot; of a table with ``rows`` rows fewer than HOT can be."""
+    return max(1000, rows // HOT)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right (one narrow row a key) where some keys hold a large share of left's rows.
+
+    ``hot`` names those keys, fewer than HOT; their rows of right are broadcast
+    and left's rows stay where they are. ``how`` is inner or left.
+    """
+    few = right.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_semi").withColumn("_hot", F.lit(True))
+    added = [c for c in right.columns if c not in keys]
+    marked = left.join(F.broadcast(few), keys, "left")
+    names = [*left.columns, *added]
+    return marked.where("_hot").select(*names).unionByName(marked.where("_hot is null").drop("_hot", *added).join(right, keys, how).select(*names))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import hypothesis.strategies as st
 from hypothesis import given, settings
@@ -62,7 +62,7 @@ def test_trees():
     assert classes.tightest(0) is None
     classes.add(7, 2)
     assert (classes.tightest(3), classes.tightest(7), classes.tightest(8)) == (7, 7, None)
-    assert fewest_capacity([5, 5, 4, 3, 3], 2)[1] == 10
+    assert fewest_capacity({5: 2, 4: 1, 3: 2}, 2)[1] == 10
 
 
 def test_shards(spark, tmp_path):
@@ -85,6 +85,30 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
 
 
+def test_shards_are_those_of_placing_groups_one_by_one(spark):
+    rng = random.Random(3)
+    texts = [None, "", "é" * 5000] + ["t" * rng.randrange(1, 60) + str(rng.randrange(400)) for _ in range(3000)]
+    size = defaultdict(int)
+    for t in texts:
+        size[t or ""] += len((t or "").encode()) + 1
+    for shards, capacity in ((16, None), (None, 4000)):
+        rows = shard_documents(documents(spark, texts), shards or 16, capacity).collect()
+        loads = defaultdict(int)
+        for r in rows:
+            loads[r.shard] += r.size
+        if capacity is None:
+            capacity = fewest_capacity(Counter(size.values()), shards)[1]
+            assert plain_best_fit(size.values(), capacity)[0] <= shards < plain_best_fit(size.values(), capacity - max(1, capacity >> 15))[0] or capacity == max(size.values()) or sum(size.values()) > shards * (capacity - 1)
+        bins, rooms = plain_best_fit(size.values(), capacity)
+        assert len(loads) == bins and sorted(max(capacity, u) - u for u in loads.values()) == rooms
+
+
+def test_written_shards_keep_rows_without_ids_and_long_texts(spark, tmp_path):
+    docs = documents(spark, ["a", "a", None, "x" * 2_000_000, "c"], [None, None, None, 4, 4]).withColumnRenamed("lang", "size")
+    write_shards(docs, str(tmp_path / "out"), 2)
+    assert sorted((r.doc_id or -1, len(r.text or "")) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(-1, 0), (-1, 1), (-1, 1), (4, 1), (4, 2_000_000)]
+
+
 def test_edges(spark):
     assert shard_documents(documents(spark, [])).count() == 0
     rows = shard_documents(documents(spark, ["a", "a", None], [1, 1, None]).withColumnRenamed("lang", "shard")).collect()
