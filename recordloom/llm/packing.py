@@ -9,6 +9,7 @@ length and its rank within that length, counted in two levels.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,15 +42,22 @@ _EDGE = re.compile(rb"[.,!?;:&%#$*|](?<=(?:[ -~][a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf
 class Encoder:
     """Ids of texts, by their words: tokens never span white space, so a text's ids are those of its words in turn.
 
-    Words new to a slice of texts are encoded together; up to WORDS_KEPT stay known.
+    Words new to a slice of texts are encoded together; up to WORDS_KEPT stay
+    known. A text that may hold an added token, such as an end mark spelled out,
+    goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str, keep: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep, self.known = keep, {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes that every text with an added token holds; without such bytes every text may hold one.
+        self.mark = re.match(r"[^\w\s]*", os.path.commonprefix(added))[0].encode() if added else None
+
+    def _odd(self, text: bytes) -> bool:
+        return self.mark is not None and self.mark in text
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.known)
@@ -67,10 +75,15 @@ class Encoder:
 
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
         """For each UTF-8 text its ids and the end id, as little-endian unsigned 32-bit numbers."""
-        split = [_EDGE.sub(rb" \g<0>", t.translate(_LOWER)).split() for t in texts]
+        odd = [self._odd(t) for t in texts]
+        split = [[] if o else _EDGE.sub(rb" \g<0>", t.translate(_LOWER)).split() for t, o in zip(texts, odd, strict=True)]
         self.learn(set().union(*split))
         end, known = end_id.to_bytes(4, "little"), self.known
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        out = [b"".join(map(known.__getitem__, words)) + end for words in split]
+        for i, text in enumerate(texts):
+            if odd[i]:
+                out[i] = np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes() + end
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

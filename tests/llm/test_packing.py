@@ -9,12 +9,11 @@ from recordloom.llm.packing import pack_documents
 from .helpers import documents, family_texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["It's don't we'll, 'S 's!", "Été, ÉTÉ. naïve x", "é, é.", "<|endoftext|> a<|endoftext|>b", "a b\x85c", "日本語 テスト。", "İstanbul ΣΑΣ ς", "...,,,!!! a.b,c;d", "12,345.67%", "\U0001f600!?", "ﬁne ﬂy", "a" * 3000, " ", "x,́ y", "é!é,"]
+ODD = ["It's don't we'll, 'S 's!", "Été, ÉTÉ. naïve x", "é, é.", "<|endoftext|> a<|endoftext|>b", "x <|startoftext|>", "<|ENDOFTEXT|> <| endoftext|>", "<|endoftext|" + "<|endoftext|>" * 3 + " It's", "a b\x85c", "日本語 テスト。", "İstanbul ΣΑΣ ς", "...,,,!!! a.b,c;d", "12,345.67%", "\U0001f600!?", "ﬁne ﬂy", "a" * 3000, " ", "x,́ y", "é!é,"]
 
 
 def check(spark, texts, ids=None, capacity=2048):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     rows = pack_documents(documents(spark, texts, ids), PATH, capacity, with_ids=True).collect()
     want = {}
     for i, text in enumerate(texts):
