@@ -173,6 +173,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     raise AssertionError
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
-    """The documents that are not contaminated, with all their columns; see decontaminate."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 0) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; see decontaminate.
+
+    By default any hit word makes a document go, so none that is kept holds an
+    occurrence of a window. A null or empty text has no words and stays.
+    """
     return decontaminate(docs, benchmark, window, percent, clean_rows=True)
