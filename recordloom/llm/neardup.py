@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACED, OnePermutation, list_array, mix, shingle_sets, word_slices
-from .state import bounded_batches, cut_lineage
+from .state import bounded_batches, cut_lineage, discard, hot_at, join_hot
 
 BANDS, ROWS = 48, 6
 #: Documents and bytes of shingle hashes in one side of a tile, about.
-TILE_ROWS, TILE_BYTES = 1024, 8 << 20
+TILE_ROWS, TILE_BYTES = 256, 4 << 20
+#: Pairs of one centre that are confirmed together, at least.
+PAIRS = 2000
 
 
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -89,10 +91,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(both) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    # A centre may have a third of all documents: such pairs are dealt over copies of its set.
+    most = max(PAIRS, hot_at(pairs.count()))
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("a", F.ceil(F.col("m") / most).alias("lots"))
+    dealt = pairs.join(F.broadcast(hubs), "a", "left")  # fewer than HOT rows
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("lots", F.lit(1))).alias("lot"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * small >= percent * large)
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")).join(F.broadcast(hubs), "a", "left")
+    left = left.select("a", "na", "ha", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)).alias("lot"))
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    joined = dealt.join(right, "b").join(left, ["a", "lot"]).where(100 * small >= percent * large)
     return cut_lineage(joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
 
 
@@ -140,17 +148,25 @@ def _within_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable over links (a, b), by label propagation and pointer jumping."""
+    """(node, label): the least node reachable over links (a, b), by label propagation and pointer jumping.
+
+    Nodes with many links, and labels that many nodes have, are joined apart.
+    """
     ways = cut_lineage(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).where("node <> to").distinct())
+    hubs = cut_lineage(ways.groupBy("to").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_at(ways.count())).select("to"))
     labels = cut_lineage(ways.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")))
+    hot = hot_at(labels.count())
     while True:
-        heard = ways.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
+        heard = join_hot(ways, labels.withColumnRenamed("node", "to"), ["to"], hubs).groupBy("node").agg(F.min("label").alias("heard"))
+        near = cut_lineage(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near")))
+        common = near.groupBy("near").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)
         above = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        labels = cut_lineage(near.join(above, "near").select("node", "old", F.least("near", "far").alias("label")))
-        if labels.where("label < old").isEmpty():
+        before, labels = labels, cut_lineage(join_hot(near, above, ["near"], common).select("node", "old", F.least("near", "far").alias("label")))
+        done = labels.where("label < old").isEmpty()
+        discard(near, before)
+        if done:
+            discard(ways, hubs)
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
 
 
 def _relabel(known: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -164,7 +180,7 @@ def _relabel(known: DataFrame | None, links: DataFrame) -> DataFrame | None:
     merged = components(lifted).toDF("comp", "top")
     moved = known.join(merged, "comp", "left").select("rep", F.coalesce("top", "comp").alias("comp"))
     new = merged.toDF("rep", "comp").join(known.select("rep"), "rep", "left_anti")
-    return cut_lineage(moved.union(new))
+    return cut_lineage(moved.unionByName(new))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -186,7 +202,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. A null,
     empty or blank text has an empty set and is linked with nothing. Rows that
-    repeat an id count as one document for links. A row without an id is its own
+    repeat an id are each judged by their own set, and links name them by the
+    id. A row without an id is its own
     component (component_id null) and kept. component_id is the least id
     reachable over links; ``kept`` marks the row with that id. An empty table
     gives no rows; other columns are ignored.
@@ -194,10 +211,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut_lineage(_signatures(source, k, bands, rows))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut_lineage(usable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = cut_lineage(usable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("m")))
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = cut_lineage(banded.join(shared, "band"))
+    shared = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    crowded = shared.where(F.col("m") > hot_at(bands * classes.count())).select("band")
+    members = cut_lineage(join_hot(banded, shared.drop("m"), ["band"], crowded))
 
     active = members.select("rep").distinct()
     sets = cut_lineage(source.where("doc_id is not null").mapInArrow(_packed, "rep long, packed binary").join(active, "rep", "left_semi").mapInArrow(_set_maker(k), "rep long, n long, hashes binary"))
@@ -212,12 +230,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # A centre has met all others of its bucket; what remains is between those.
     open_ = _labelled(members.where("rep <> centre").select("band", "rep"), labels)
     mixed = open_.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("high")
-    open_ = cut_lineage(open_.join(mixed, "band").select("low", "rep", "comp").distinct())
+    open_ = cut_lineage(join_hot(open_, mixed, ["band"], crowded).select("low", "rep", "comp").distinct())
     if not open_.isEmpty():
         labels = _relabel(labels, _within_blocks(open_, sets, percent))
 
-    named = _labelled(classes.select("one", "two", "rep"), labels).select("one", "two", "comp")
-    if labels is not None:  # a label is the least representative, and a representative the least id of its class
-        named = cut_lineage(named)
-    out = signed.drop("bands").join(named, ["one", "two"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # A label is the least representative, and a representative the least id of its class.
+    named = cut_lineage(_labelled(classes.select("one", "two", "rep", "m"), labels))
+    copied = named.where(F.col("m") > hot_at(signed.count())).select("one", "two")
+    linked = join_hot(usable.drop("bands"), named.select("one", "two", "comp"), ["one", "two"], copied)
+    alone = signed.drop("bands").where("n_shingles = 0 or doc_id is null").withColumn("comp", F.col("doc_id"))
+    out = linked.unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each near-duplicate component; all their columns stay, ``_row`` is reserved.
+
+    Rows are told apart by a number of their own, not by id: of rows with one id
+    and different texts each is judged by its text, and repeated rows leave one.
+    The row with the least id stays, a null id coming last, then the first read.
+    Rows whose text is null, empty or blank all stay.
+    """
+    held = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = cut_lineage(near_duplicates(held, k, percent, id_col="_row", text_col=text_col).withColumnRenamed("doc_id", "_row"))
+    several = found.where("_row <> component_id").select("component_id").distinct()
+    crowds = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_at(found.count()))
+    in_groups = join_hot(found.select("component_id", "_row"), several.withColumn("_several", F.lit(True)), ["component_id"], crowds)
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    chosen = in_groups.join(held.select("_row", id_col), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = in_groups.join(chosen.select(F.col("first.row").alias("_row")), "_row", "left_anti").select("_row")
+    return held.join(gone, "_row", "left_anti").select(*docs.columns)
