@@ -23,7 +23,9 @@ from .kernel import _BASE, _SYMBOL, _WBASE, U64, OnePermutation, inverse, mix, p
 from .state import bounded_batches, text_bytes
 
 BINS = 128
-CELL_BYTES = 4 << 20
+#: Text in a range of ids, about, and ranges at most: the driver and each task know the bounds of all.
+#: Texts of a range are read one after the other, so its size bounds a task's time, not its memory.
+CELL_BYTES, CELLS = 4 << 20, 20_000
 LEAST = np.iinfo(np.int64).min
 _HASHER = OnePermutation(BINS)
 
@@ -104,39 +106,66 @@ class _Print:
         return n, data, _signature(np.concatenate((self.hashes[:k], more)))
 
 
+class Ranges:
+    """Ranges of (id, hash of the text) from quantiles of the ids. An id that takes several is split by the hash."""
+
+    def __init__(self, marks: np.ndarray):
+        self.bounds, times = np.unique(marks, return_counts=True)
+        self.parts = np.where(times > 1, times, 0)  # ranges of the rows with just this id; the rest of its interval is one more
+        self.first = np.concatenate(([0], 1 + np.concatenate(([0], np.cumsum(self.parts + 1)))))[: len(self.bounds) + 1]
+
+    def of(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The number of each row's range; numbers ascend with (id, hash)."""
+        place = np.searchsorted(self.bounds, keys, "right")
+        cell = self.first[place].astype(np.int64)
+        inner = place > 0
+        at = place[inner] - 1
+        share = ties[inner].astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        part = ((share >> np.uint64(32)) * self.parts[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        cell[inner] += np.where(keys[inner] == self.bounds[at], part, self.parts[at])
+        return cell
+
+    def numbered(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ties = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(self.of(keys, ties)), *batch.columns], names=["cell", "key", "tie"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as
     many of the next document's first, or all it has. The next document is the
     one with the next larger id; after the last comes the first; of rows that
-    repeat an id the order is that of their compressed texts, and a null id
-    comes before all. A null text is empty. A lone document follows itself. An
+    repeat an id the order is that of a hash of their texts (xxhash64, signed),
+    and a null id comes before all. A null text is empty. A lone document follows itself. An
     empty table gives no rows; other columns are ignored.
 
     Texts move once, compressed, into ranges of ids whose bounds are quantiles.
-    A range's first document is also sent to the range before it.
+    A range's first document is also sent to the range before it. Only rows that
+    repeat both id and text share a range whatever their number.
     """
-    source = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LEAST))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LEAST))).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
     count, total = text_bytes(source)
-    cells = max(16, -(-total // CELL_BYTES))
+    cells = max(16, min(CELLS, -(-total // CELL_BYTES)))
     marks = source.agg(F.percentile_approx("key", [k / cells for k in range(1, cells)], 20 * cells)).first()[0] or []
-    bounds = np.unique(np.array(marks, np.int64))
-    inner = source.select("key").mapInArrow(_numbered(bounds), "cell long, key long").groupBy("cell").agg(F.min("key").alias("least")).orderBy("cell").collect()  # one row a range
-    before = {int(r["least"]): int(inner[i - 1]["cell"]) for i, r in enumerate(inner)}
+    ranges = Ranges(np.array(marks, np.int64))
+    leasts = source.select("key", "tie").mapInArrow(ranges.numbered, "cell long, key long, tie long").groupBy("cell").agg(F.min(F.struct("key", "tie")).alias("least")).orderBy("cell").collect()  # one row a range
+    before = {(int(r["least"][0]), int(r["least"][1])): int(leasts[i - 1]["cell"]) for i, r in enumerate(leasts)}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            packed = [squeeze.compress((x.as_py() or "").encode()) for x in batch.column(1)]
-            extra = [i for i, k in enumerate(keys.tolist()) if k in before]
+            keys, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            packed = [squeeze.compress((x.as_py() or "").encode()) for x in batch.column(2)]
+            pairs = list(zip(keys.tolist(), ties.tolist(), strict=True))
+            extra = [i for i, pair in enumerate(pairs) if pair in before]
             at = np.array([*range(len(keys)), *extra], np.int64)
-            cell = np.searchsorted(bounds, keys, "right")[at]
-            cell[len(keys) :] = [before[int(keys[i])] for i in extra]
+            cell = ranges.of(keys, ties)[at]
+            cell[len(keys) :] = [before[pairs[i]] for i in extra]
             last = np.zeros(len(at), bool)
             last[len(keys) :] = True
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(last), pa.array(keys[at]), pa.array([packed[i] for i in at.tolist()], pa.binary())], names=["cell", "last", "key", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(last), pa.array(keys[at]), pa.array(ties[at]), pa.array([packed[i] for i in at.tolist()], pa.binary())], names=["cell", "last", "key", "tie", "packed"])
 
     def emit(rows: list) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -146,7 +175,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         expand = zstandard.ZstdDecompressor()
         held, place, closed, rows = None, None, False, []
         for batch in batches:
-            for cell, last, key, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cell, last, key, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cell != place:
                     held, place, closed = None, cell, False
                 elif closed:  # another row with the id of the first of the next range
@@ -162,14 +191,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if rows:
             yield emit(rows)
 
-    ranged = source.mapInArrow(send, "cell long, last boolean, key long, packed binary").repartition(max(8, cells // 3), "cell").sortWithinPartitions("cell", "last", "key", "packed")
+    ranged = source.mapInArrow(send, "cell long, last boolean, key long, tie long, packed binary").repartition(cells, "cell").sortWithinPartitions("cell", "last", "key", "tie", "packed")
     return ranged.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _numbered(bounds: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, keys, "right").astype(np.int64)), batch.column(0)], names=["cell", "key"])
-
-    return run

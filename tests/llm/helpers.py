@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import xxhash
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -15,6 +17,12 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def tie(text):
+    """Spark's xxhash64 of a string."""
+    value = 42 if text is None else xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return value - (1 << 64) if value >> 63 else value
+
+
 def sentence(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
