@@ -6,9 +6,14 @@ places that are both in D modulo v, at the same offset. So only anchors at cover
 places are hashed for the search, 4 of 13 here. Windows around an anchor that
 occurs twice are then compared by their full hash, the extension step.
 
-Documents are dealt into cells by id, once; a cell's text is bounded. Cells
-exchange only distinct hashes, so a passage that a third of all rows share
-counts once for each cell: neither a key nor a task grows with its copies.
+Documents are dealt into cells by id and text, once; a cell's text is bounded.
+Cells exchange only distinct hashes, so a passage that a third of all rows share
+counts once for each cell: neither a key nor a task grows with its copies. Only
+rows that repeat both id and text share a cell whatever their number.
+
+Equal 64-bit hashes count as equal words. A window goes wrongly only if its hash
+meets another's and both hold an anchor that occurs twice: among n windows of
+repeated passages, n * n / 2**65 pairs are expected to, one for n of 6e9.
 """
 
 from __future__ import annotations
@@ -26,21 +31,21 @@ from .state import text_bytes
 
 #: Difference covers (fixed values): every residue modulo the key is a difference of two entries.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
-CELL_BYTES = 6 << 20
+#: Text in a cell, and text whose hashes meet in one bucket, about.
+CELL_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
 LEAST = np.iinfo(np.int64).min
 
 
 class _Cell:
-    """The documents of one cell in order of id, then text."""
+    """The documents of one cell in order of id, then the text's hash."""
 
     def __init__(self, table: pa.Table, window: int):
         ids = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         keys = ids.fill_null(LEAST).to_numpy(zero_copy_only=False)
         texts = table.column("text").combine_chunks().fill_null("")
-        order = np.argsort(keys, kind="stable")
-        if len(keys) and (keys[order][1:] == keys[order][:-1]).any():  # rows that repeat an id
-            order = np.array(sorted(range(len(keys)), key=lambda i: (keys[i], texts[i].as_py())))
-        self.ids, self.keys, self.texts = ids.take(pa.array(order)), keys[order], texts.take(pa.array(order)).cast(pa.large_string())
+        ties = table.column("tie").to_numpy() if table.num_rows else np.zeros(0, np.int64)
+        order = np.lexsort((ties, keys))
+        self.ids, self.keys, self.ties, self.texts = ids.take(pa.array(order)), keys[order], ties[order], texts.take(pa.array(order)).cast(pa.large_string())
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, words in word_slices(self.texts, SPACED, lower=False):
             hashes.append(words.hashes)
@@ -82,7 +87,7 @@ def _dealt(cell: int, buckets: int, hashes: np.ndarray, *more: np.ndarray) -> pa
     tail = np.append(lead, len(bucket))[1:]
     columns = [pa.array(bucket[lead], pa.int64()), pa.array(np.full(len(lead), cell), pa.int64())]
     columns += [pa.array([x[order][a:b].tobytes() for a, b in zip(lead, tail, strict=True)], pa.binary()) for x in (hashes, *more)]
-    return pa.table(columns, names=["bucket", "cell", "hashes", *("ids", "starts")[: len(more)]])
+    return pa.table(columns, names=["bucket", "cell", "hashes", *("ids", "ties", "starts")[: len(more)]])
 
 
 def _gathered(table: pa.Table, name: str, kind) -> list[np.ndarray]:
@@ -104,20 +109,20 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True, id
     Words are maximal runs without ASCII white space. A word goes if a window
     over it has a word sequence that also starts earlier: at a smaller id, or
     earlier in the same document. Windows are judged on the input. A null text
-    has no words (kept text empty). Rows that repeat an id are ordered by their
-    texts; a null id comes before all others. An empty table gives no rows;
+    has no words (kept text empty). Rows that repeat an id are ordered by a hash
+    of their texts (xxhash64, signed); a null id comes before all others. An empty table gives no rows;
     other columns are ignored.
     """
     modulus = max(m for m in COVERS if m == 1 or m <= window - 7)
     _, total = text_bytes(docs, text_col)
-    cells = max(32, -(-total // CELL_BYTES))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cells, buckets = max(16, -(-total // CELL_BYTES)), max(16, -(-total // BUCKET_BYTES))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     # All three passes read this one exchange.
-    dealt = source.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells))).repartition(max(8, cells // 3), "cell")
+    dealt = source.withColumn("cell", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(cells))).repartition(cells, "cell")
 
     def tell_anchors(key: tuple, table: pa.Table) -> pa.Table:
         _, hashes = _Cell(table, window).anchors(modulus)
-        return _dealt(key[0].as_py(), cells, np.unique(hashes))
+        return _dealt(key[0].as_py(), buckets, np.unique(hashes))
 
     def met_elsewhere(table: pa.Table) -> pa.Table:
         parts = _gathered(table, "hashes", np.uint64)
@@ -136,12 +141,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True, id
         # Equal hashes are kept once, at their first place: places are in order of id and start.
         own, lead = np.unique(windows(cell.words, window)[starts] if len(starts) else np.zeros(0, np.uint64), return_index=True)
         starts = starts[lead]
-        return _dealt(key[0].as_py(), cells, own, cell.keys[cell.doc[starts]], starts - cell.first[cell.doc[starts]])
+        docs_ = cell.doc[starts]
+        return _dealt(key[0].as_py(), buckets, own, cell.keys[docs_], cell.ties[docs_], starts - cell.first[docs_])
 
     def first_elsewhere(table: pa.Table) -> pa.Table:
         parts = _gathered(table, "hashes", np.uint64)
         hashes = np.concatenate(parts)
-        order = np.lexsort((np.concatenate(_gathered(table, "starts", np.int64)), np.concatenate(_gathered(table, "ids", np.int64)), hashes))
+        order = np.lexsort((*(np.concatenate(_gathered(table, c, np.int64)) for c in ("starts", "ties", "ids")), hashes))
         later = np.zeros(len(hashes), bool)
         later[order[1:]] = hashes[order][1:] == hashes[order][:-1]
         late = np.split(later, np.cumsum([len(p) for p in parts])[:-1])
@@ -174,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True, id
 
     told = dealt.groupBy("cell").applyInArrow(tell_anchors, "bucket long, cell long, hashes binary")
     shared = told.groupBy("bucket").applyInArrow(met_elsewhere, "cell long, hashes binary")
-    told = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(tell_windows, "bucket long, cell long, hashes binary, ids binary, starts binary")
+    told = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(tell_windows, "bucket long, cell long, hashes binary, ids binary, ties binary, starts binary")
     foreign = told.groupBy("bucket").applyInArrow(first_elsewhere, "cell long, hashes binary")
     kinds = {"doc_id": "long", "n_words": "long", "n_removed": "long"}
     return dealt.groupBy("cell").cogroup(foreign.groupBy("cell")).applyInArrow(remove, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names))

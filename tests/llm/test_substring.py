@@ -2,7 +2,7 @@ import random
 
 from recordloom.llm.substring import COVERS, remove_repeats
 
-from .helpers import documents, family_texts, sentence, sha
+from .helpers import documents, family_texts, sentence, sha, tie
 
 
 def brute(rows, window):
@@ -33,6 +33,17 @@ def test_matches_brute_force(spark):
         assert [tuple(r) for r in rows] == brute(list(enumerate(texts)), window)
 
 
+def test_repeated_and_null_ids_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(8)
+    long = " ".join(sentence(rng, 30_000, 10**6))
+    texts = [*family_texts(5, families=3), long, long]
+    ids = [rng.choice((None, 1, 2, i)) for i in range(len(texts))]
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or 0, tie(texts[i])))
+    want = brute([(ids[i], texts[i]) for i in order], 20)
+    rows = remove_repeats(documents(spark, texts, ids).withColumnRenamed("lang", "cell").withColumnRenamed("source", "tie")).collect()
+    assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, want))
+
+
 def test_covers():
     for modulus, cover in COVERS.items():
         assert {(a - b) % modulus for a in cover for b in cover} == set(range(modulus))
