@@ -48,23 +48,45 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 class Sweep:
-    """Merges ascending page keys with sorted rules (key, path, rule, verdict)."""
+    """Merges ascending page keys with sorted rules (key, path, rule, verdict).
 
-    def __init__(self, rules: list[tuple[str, str, str, str]]):
-        self.rules, self.next, self.stack = sorted(rules), 0, []
+    An entry of the stack holds the rules of one host: by path length, then path.
+    A url is looked up once for each length in use, however many rules there are.
+    """
 
-    def active(self, key: str) -> list[tuple[str, str, str, str]]:
-        while self.next < len(self.rules) and self.rules[self.next][0] <= key:
-            self._leave(self.rules[self.next][0])
-            self.stack.append(self.rules[self.next])
+    def __init__(self, rules: list[tuple[str, str, str, str]]):
+        self.hosts: list[tuple[str, dict[int, dict[str, tuple[str, str]]]]] = []
+        for key, path, rule, verdict in sorted(rules):
+            if not self.hosts or self.hosts[-1][0] != key:
+                self.hosts.append((key, {}))
+            paths = self.hosts[-1][1].setdefault(len(path), {})
+            paths[path] = min(paths.get(path, (verdict, rule)), (verdict, rule))  # allow before block
+        self.next, self.stack = 0, []
+
+    def move(self, key: str) -> None:
+        """Brings the stack to the hosts that cover the key; keys ascend."""
+        while self.next < len(self.hosts) and self.hosts[self.next][0] <= key:
+            self._leave(self.hosts[self.next][0])
+            self.stack.append(self.hosts[self.next])
             self.next += 1
         self._leave(key)
-        return self.stack
 
     def _leave(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
 
+    def rules(self, path: str):
+        """(rule, length of its host, verdict) of the rules of the present hosts that fit the path."""
+        for key, by_length in self.stack:
+            for length, paths in by_length.items():
+                found = paths.get(path[:length]) if length <= len(path) else None
+                if found:
+                    yield found[1], len(key) - 1, found[0]
+
+
+def _rank(rule: str, host: int, verdict: str) -> tuple:
+    return len(rule), host, verdict == "allow", rule, verdict
+
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict.
@@ -82,21 +104,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     named = rules.where("host <> ''").select(_key(F.col("host")).alias("key"), F.coalesce("path", F.lit("")).alias("path"), F.concat("host", F.coalesce("path", F.lit(""))).alias("rule"), "verdict").distinct()
     blocks = max(1, -(-named.count() // BLOCK_RULES))
     for block in range(blocks):
-        part = [tuple(r) for r in named.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).collect()]  # about BLOCK_RULES
+        part = [tuple(r) for r in named.where(F.pmod(F.xxhash64("key", "path"), F.lit(blocks)) == block).collect()]  # about BLOCK_RULES
         shared = pages.sparkSession.sparkContext.broadcast(part)
 
         def sweep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            state, seen, active = Sweep(shared.value), None, []
+            state, seen = Sweep(shared.value), None
             for batch in batches:
                 paths, keys, rules_, verdicts = (batch.column(i).to_pylist() for i in range(2, 6))
                 for i, (key, path) in enumerate(zip(keys, paths, strict=True)):
                     if key != seen:
-                        seen, active = key, list(state.active(key))
-                    best = None if rules_[i] is None else (len(rules_[i]), rules_[i].find("/") % (len(rules_[i]) + 1), verdicts[i] == "allow", rules_[i], verdicts[i])
-                    for host_key, rule_path, rule, verdict in active:
-                        if path.startswith(rule_path):
-                            mine = (len(rule), len(host_key) - 1, verdict == "allow", rule, verdict)
-                            best = mine if best is None else max(best, mine)
+                        state.move(key)
+                        seen = key
+                    best = None if rules_[i] is None else _rank(rules_[i], rules_[i].find("/") % (len(rules_[i]) + 1), verdicts[i])
+                    for found in state.rules(path):
+                        best = _rank(*found) if best is None else max(best, _rank(*found))
                     if best:
                         rules_[i], verdicts[i] = best[3:]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(rules_, pa.string()), pa.array(verdicts, pa.string())], names=batch.schema.names)
