@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,43 @@ def test_folding_matches_and_exceptions():
     assert toxicity.Lexicon({}, exceptions=()).matches("idiot") == []
 
 
+def naive_matches(lexicon, folded):
+    """Entries at word starts, by trying all at each place, unless a phrase that starts no later ends no earlier."""
+    phrases = [toxicity.fold(p) for p in lexicon.exceptions]
+    starts = [i for i in range(len(folded)) if not i or not folded[i - 1].isalpha()]
+    spared = [(i, i + len(p)) for i in starts for p in phrases if folded.startswith(p, i)]
+    out = []
+    for i in starts:
+        for entry in lexicon.weights:
+            word = entry.rstrip("$")
+            end = i + len(word)
+            if folded.startswith(word, i) and not (entry.endswith("$") and folded[end : end + 1].isalpha()) and not any(a <= i and end <= b for a, b in spared):
+                out.append((i, end, entry))
+    return [(i, e) for i, _, e in sorted(out)]
+
+
+def test_matches_are_those_of_a_naive_search():
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "idio": 1.0, "trash": 1.0, "trashcan": 3.0, "bad$": 1.0, "ba$": 1.0, "can": 1.0}, exceptions=("trash can", "trashcan", "idiot proof", "proof"))
+    parts = ["idiot", "idiotic", "trash", "can", "cans", "trashcan", "bad", "badly", "ba", "proof", "tr4sh", "1diot", " ", " ", "  ", ".", "é", "b a d"]
+    for _ in range(500):
+        folded = toxicity.fold("".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(12))))
+        assert lexicon.matches(folded) == naive_matches(lexicon, folded), folded
+
+
+def test_matching_time_grows_with_the_text():
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "trash": 1.0})
+
+    def seconds(n):
+        text = "idiot trash can " * n
+        began = time.perf_counter()
+        assert len(lexicon.matches(text)) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.02)
+
+
 def labelled(spark, seed=1, n=600):
     rng = random.Random(seed)
     texts, toxic, good = [], [], []
