@@ -10,17 +10,15 @@ from recordloom.llm.state import cut_lineage, table
 
 from .test_decontam import words
 from .test_neardup import brute as near_brute
-from .test_pii import PATTERNS, valid
+from .test_pii import spans_of
 
 SF = "/root/testdata/sf0.001"
 
 
-def base_redacted(text):
-    import re
-
-    spans = sorted(((m.start(), -m.end(), k) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m[0])))
+def all_redacted(text):
+    cuts = sorted((a, -b, k) for k, a, b, _ in spans_of(text))
     out, at = "", 0
-    for start, stop, kind in spans:
+    for start, stop, kind in cuts:
         if start >= at:
             out += text[at:start] + f"[{kind.upper()}]"
         at = max(at, -stop)
@@ -50,7 +48,7 @@ def test_stages(spark):
     for i, r in after.items():
         own = words(r.text)
         hit = {p for n in lengths for at in range(len(own) - n + 1) if tuple(own[at : at + n]) in windows for p in range(at, at + n)}
-        if not hit or 20 * len(hit) < len(own):
+        if not hit:
             clean.add(i)
     docs = cut_lineage(stages["decontamination"](spark, docs, SF))
     before, after = after, {r.doc_id: r for r in docs.collect()}
@@ -58,12 +56,11 @@ def test_stages(spark):
 
     docs = cut_lineage(stages["pii"](spark, docs, SF))
     before, after = after, {r.doc_id: r for r in docs.collect()}
-    assert docs.columns == columns and {i: r.text for i, r in after.items()} == {i: base_redacted(r.text) for i, r in before.items()}
+    assert docs.columns == columns and {i: r.text for i, r in after.items()} == {i: all_redacted(r.text) for i, r in before.items()}
     assert all(r.n_chars == len(r.text) for r in after.values())
 
     packed = corpus_pipeline.run(spark, SF).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     got = {}
     for r in sorted(packed, key=lambda r: (r.doc_id, r.piece)):
         got.setdefault(r.doc_id, []).extend(r.ids)
@@ -77,3 +74,17 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_columns(spark):
+    """Null texts, repeated ids and rows, and columns with names of the operators' own."""
+    bench = table(spark, SF, "benchmark").where("text is not null").orderBy("item_id").first().text
+    words_ = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, words_), (7, words_), (7, "another text under the same id"), (9, words_.upper()), (None, words_), (None, None), (3, ""), (4, f"x {bench} y"), (5, "mail a@b.cc")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "kept", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, pii string, shard int")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "near-duplicates", "decontamination", "pii"):
+        docs = cut_lineage(stages[name](spark, docs, SF))
+        assert docs.columns[-2:] == ["pii", "shard"]
+    got = sorted((r.doc_id or -1, r.text or "", r.pii) for r in docs.collect())
+    assert got == sorted([(7, words_, "kept"), (7, "another text under the same id", "kept"), (-1, "", "kept"), (3, "", "kept"), (5, "mail [EMAIL]", "kept")])
