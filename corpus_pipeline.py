@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences: five stages over the ``documents`` table."""
+"""From raw documents to packed sequences: five stages over the ``documents`` table.
+
+Stages take rows as they come: a null or empty text is no toxic, near-duplicate
+or contaminated one and stays, as an empty document of one id at the end; rows
+that repeat an id are judged one by one, by their texts; an empty table passes
+through; further columns are carried along up to packing. Names that begin with
+``_`` are reserved.
+"""
 
 from __future__ import annotations
 
@@ -11,30 +18,33 @@ from recordloom.llm.state import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits the lexicon on labelled documents among the input and keeps those below the threshold."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.flagged(docs, model).where("not toxic").select(*docs.columns)
+    """Fits the lexicon on labelled documents among the input and keeps those below the threshold of 0.5.
+
+    Without labels of both kinds the seeds alone decide.
+    """
+    return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component (five-word shingles, similarity 0.8 or more)."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    once = docs.join(gone, "doc_id", "left_anti")
-    return once.select(*docs.columns)
+    """Keeps one document of each component (five-word shingles, similarity 0.8 or more): the one with the least id.
+
+    Of repeated rows one stays; rows with one id and different texts are different documents.
+    """
+    return neardup.without_near_duplicates(docs, k=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in benchmark windows."""
-    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Drops every document that holds a benchmark window: 13 words of an item, or a shorter item as a whole."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"), percent=0)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in texts by its kind; n_chars follows the new text."""
+    """Replaces personal data and secrets in texts by their kind; n_chars follows the new text, a null text keeps it."""
     return pii.redacted(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token ids, kept with each piece, into sequences of at most 2048.
+    """Packs token ids, kept with each piece, into sequences of at most 2048; columns are those of pieces.
 
     Workers outlive the stage, so they keep fewer words than in packing alone.
     """
