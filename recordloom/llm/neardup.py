@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACED, OnePermutation, list_array, mix, shingle_sets, word_slices
-from .state import bounded_batches, cut_lineage, discard, hot_at, join_hot
+from .state import HOT, bounded_batches, cut_lineage, discard, hot_keys, join_hot
 
 BANDS, ROWS = 48, 6
 #: Documents and bytes of shingle hashes in one side of a tile, about.
@@ -92,13 +92,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     # A centre may have a third of all documents: such pairs are dealt over copies of its set.
-    most = max(PAIRS, hot_at(pairs.count()))
-    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("a", F.ceil(F.col("m") / most).alias("lots"))
-    dealt = pairs.join(F.broadcast(hubs), "a", "left")  # fewer than HOT rows
-    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("lots", F.lit(1))).alias("lot"))
+    count = pairs.count()
+    most = max(PAIRS, count // HOT)
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
+    hubs = cut_lineage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("a", F.ceil(F.col("m") / most).alias("lots"))) if count > PAIRS else None
+    if hubs is None or hubs.isEmpty():
+        dealt, left = pairs.select("a", "b", F.lit(0).alias("lot")), left.withColumn("lot", F.lit(0))
+    else:  # fewer than HOT rows
+        dealt = pairs.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("lots", F.lit(1))).alias("lot"))
+        left = left.join(F.broadcast(hubs), "a", "left").select("a", "na", "ha", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)).alias("lot"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")).join(F.broadcast(hubs), "a", "left")
-    left = left.select("a", "na", "ha", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)).alias("lot"))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     joined = dealt.join(right, "b").join(left, ["a", "lot"]).where(100 * small >= percent * large)
     return cut_lineage(joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
@@ -153,19 +156,19 @@ def components(links: DataFrame) -> DataFrame:
     Nodes with many links, and labels that many nodes have, are joined apart.
     """
     ways = cut_lineage(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).where("node <> to").distinct())
-    hubs = cut_lineage(ways.groupBy("to").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_at(ways.count())).select("to"))
+    hubs = hot_keys(ways.groupBy("to").agg(F.count(F.lit(1)).alias("m")), ["to"], ways.count())
     labels = cut_lineage(ways.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")))
-    hot = hot_at(labels.count())
+    nodes = labels.count()
     while True:
         heard = join_hot(ways, labels.withColumnRenamed("node", "to"), ["to"], hubs).groupBy("node").agg(F.min("label").alias("heard"))
         near = cut_lineage(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near")))
-        common = near.groupBy("near").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)
+        common = hot_keys(near.groupBy("near").agg(F.count(F.lit(1)).alias("m")), ["near"], nodes)
         above = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
         before, labels = labels, cut_lineage(join_hot(near, above, ["near"], common).select("node", "old", F.least("near", "far").alias("label")))
         done = labels.where("label < old").isEmpty()
         discard(near, before)
         if done:
-            discard(ways, hubs)
+            discard(ways)
             return labels.select("node", "label")
 
 
@@ -214,7 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = cut_lineage(usable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("m")))
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    crowded = shared.where(F.col("m") > hot_at(bands * classes.count())).select("band")
+    crowded = hot_keys(shared, ["band"], bands * classes.count())
     members = cut_lineage(join_hot(banded, shared.drop("m"), ["band"], crowded))
 
     active = members.select("rep").distinct()
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # A label is the least representative, and a representative the least id of its class.
     named = cut_lineage(_labelled(classes.select("one", "two", "rep", "m"), labels))
-    copied = named.where(F.col("m") > hot_at(signed.count())).select("one", "two")
+    copied = hot_keys(named, ["one", "two"], signed.count())
     linked = join_hot(usable.drop("bands"), named.select("one", "two", "comp"), ["one", "two"], copied)
     alone = signed.drop("bands").where("n_shingles = 0 or doc_id is null").withColumn("comp", F.col("doc_id"))
     out = linked.unionByName(alone)
@@ -254,7 +257,7 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_c
     held = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = cut_lineage(near_duplicates(held, k, percent, id_col="_row", text_col=text_col).withColumnRenamed("doc_id", "_row"))
     several = found.where("_row <> component_id").select("component_id").distinct()
-    crowds = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_at(found.count()))
+    crowds = hot_keys(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")), ["component_id"], found.count())
     in_groups = join_hot(found.select("component_id", "_row"), several.withColumn("_several", F.lit(True)), ["component_id"], crowds)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
     chosen = in_groups.join(held.select("_row", id_col), "_row").groupBy("component_id").agg(F.min(order).alias("first"))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bestfit import TreeStore, fewest_capacity, plan_by_class
-from .state import cut_lineage, hot_at, join_hot
+from .state import cut_lineage, hot_keys, join_hot
 
 #: Rows that one task numbers within a shard or a size, about.
 CELL_ROWS = 50_000
@@ -56,7 +56,7 @@ def _placed(rows: DataFrame, shards: int, capacity: int | None) -> DataFrame:
     shard = F.col("_first") + F.expr("(_place - _from) div _each")
     found = cut_lineage(found.select("_group", "_rows", shard.cast("int").alias("shard")))
     # A group of copies may hold a third of all rows.
-    hot = found.where(F.col("_rows") > hot_at(rows.count())).select("_group")
+    hot = hot_keys(found, ["_group"], rows.count(), "_rows")
     return join_hot(rows, found.drop("_rows"), ["_group"], hot)
 
 

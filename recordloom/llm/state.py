@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..store import cut_lineage, discard
 
-__all__ = ["HOT", "bounded_batches", "cut_lineage", "discard", "hot_at", "join_hot", "table", "text_bytes"]
+__all__ = ["bounded_batches", "cut_lineage", "discard", "hot_at", "hot_keys", "join_hot", "table", "text_bytes"]
 
 #: Rows in an Arrow batch, at most: with texts or sets of some 100 KB a batch stays below 100 MB.
 BATCH_ROWS = 500
@@ -26,18 +26,33 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 HOT = 4096
 
 
+#: Narrow rows of one key that a task may well hold.
+FEW = 10_000
+
+
 def hot_at(rows: int) -> int:
     """Keys with more rows than this are hot; of a table with ``rows`` rows fewer than HOT can be."""
-    return max(1000, rows // HOT)
+    return max(FEW, rows // HOT)
+
+
+def hot_keys(counted: DataFrame, keys: list[str], rows: int, count: str = "m") -> DataFrame | None:
+    """The hot keys of a table with ``rows`` rows, from its keys and their counts; None where there are none."""
+    if rows <= FEW:
+        return None
+    found = cut_lineage(counted.where(F.col(count) > hot_at(rows)).select(*keys))
+    return None if found.isEmpty() else found
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """left joined with right (one narrow row a key) where some keys hold a large share of left's rows.
 
-    ``hot`` names those keys, fewer than HOT; their rows of right are broadcast
-    and left's rows stay where they are. ``how`` is inner or left.
+    ``hot`` names those keys, fewer than HOT, if there are any; their rows of
+    right are broadcast and left's rows stay where they are. ``how`` is inner or
+    left.
     """
-    few = right.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_semi").withColumn("_hot", F.lit(True))
+    if hot is None:
+        return left.join(right, keys, how)
+    few = right.join(F.broadcast(hot.select(*keys)), keys, "left_semi").withColumn("_hot", F.lit(True))
     added = [c for c in right.columns if c not in keys]
     marked = left.join(F.broadcast(few), keys, "left")
     names = [*left.columns, *added]
