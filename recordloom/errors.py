@@ -13,11 +13,9 @@ class ToolError(Exception):
             setattr(self, name, value)
 
 
-class FilterSyntaxError(ValueError):
+class FilterSyntaxError(ToolError, ValueError):
     """A filter text that cannot be read; places count from 0 (offset) and 1 (line, column)."""
 
     def __init__(self, text: str, offset: int, message: str, code: str = "filter_syntax"):
-        super().__init__(message)
-        self.code, self.offset = code, offset
-        self.line = text.count("\n", 0, offset) + 1
-        self.column = offset - (text.rfind("\n", 0, offset) + 1) + 1
+        before = text[:offset]
+        super().__init__(code, message, offset=offset, line=before.count("\n") + 1, column=offset - (before.rfind("\n") + 1) + 1)

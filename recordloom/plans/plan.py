@@ -15,9 +15,11 @@ from ..errors import ToolError
 from ..expressions import And, Expression, Field, Not, Or, lower
 from ..functions.exact import exact_sums, exponent, rounded, units
 from ..functions.lanes import Lane, lane
-from ..sources.records import Records, read_records
+from ..sources.records import Records, numbered_by, read_records
 
 METRICS = ("count", "sum", "mean", "min", "max")
+#: Rows that a limit takes through one task, at most.
+TOP = 10_000
 
 
 @dataclass(frozen=True)
@@ -306,9 +308,11 @@ def _step(state: _State, i: int, op, checks: list | None) -> _State:
     if isinstance(op, Project):
         return replace(state, fields=op.names)
     if isinstance(op, Limit):
-        if op.count >= 2**31:
-            return state
-        return replace(state, df=df.orderBy(*state.ordering).limit(op.count))
+        if op.count <= TOP:
+            return replace(state, df=df.orderBy(*state.ordering).limit(op.count))
+        # More rows than one task should hold are numbered in their order and cut off by number.
+        placed = numbered_by(df, list(state.ordering), f"_limit{i}")
+        return replace(state, df=placed.where(F.col(f"_limit{i}") < op.count).drop(f"_limit{i}"))
     if isinstance(op, Sort):
         return _sorted(state, i, op, checks)
     return _aggregated(state, i, op, checks)
@@ -337,7 +341,10 @@ def grouped(df: DataFrame, keys: dict[str, Lane], specs: dict[str, tuple[str, La
     """Groups by typed identity: ``first`` (least _ord), a VARIANT per key (the first record's), one per spec, and ``bad`` counts.
 
     An op is one of METRICS. Values that are no finite numbers count in ``bad``
-    and are left out. ``present`` restricts the rows to those that have it.
+    and are left out; records whose key is no scalar count in ``_bad_key``, in
+    groups that callers leave out or refuse. A result beyond the range of doubles
+    is null and counts in ``_bad``. ``present`` restricts the rows to those that
+    have it.
     """
     if present is not None:
         df = df.where(present.present)
@@ -391,7 +398,8 @@ def grouped(df: DataFrame, keys: dict[str, Lane], specs: dict[str, tuple[str, La
         else:
             mean = F.when(whole, F.col(f"_si{n}").cast("double")).otherwise(F.col(f"_sd{m}"))
             value = F.when(F.col(f"_n{n}") > 0, (mean / F.col(f"_n{n}")).cast("variant"))
-        out = out.withColumn(f"_out{n}", value)
+        beyond = F.coalesce(~whole & (F.abs(F.col(f"_sd{m}")) == float("inf")), F.lit(False))
+        out = out.withColumn(f"_out{n}", F.when(~beyond, value)).withColumn(f"_bad{n}", F.col(f"_bad{n}") + beyond.cast("long"))
     shown = [F.col(f"_x{n}").alias(k) for n, k in enumerate(keys)]
     shown += [(F.col(f"_out{n}") if (op != "count") else F.col(f"_out{n}").cast("variant")).alias(name) for n, (name, (op, _)) in enumerate(specs.items())]
     bad = [F.col("_bad_key"), *(F.col(f"_bad{n}").alias(f"_bad:{name}") for n, (name, (_, x)) in enumerate(specs.items()) if x is not None)]
@@ -405,10 +413,11 @@ def _aggregated(state: _State, i: int, op: Aggregate, checks: list | None) -> _S
     specs = {n: (s.op, lanes.get(s.path)) for n, s in op.specs}
     out = grouped(state.df, keys, specs)
     bads = [c for c in out.columns if c.startswith("_bad")]
+    whole, out = out, out.where("_bad_key = 0")
     if checks is not None:
 
         def check():
-            found = out.agg(*[F.sum(f"`{c}`").alias(c) for c in bads]).first()
+            found = whole.agg(*[F.sum(f"`{c}`").alias(c) for c in bads]).first()
             for c in bads:
                 if found[c]:
                     name = c.partition(":")[2]

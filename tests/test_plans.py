@@ -1,12 +1,14 @@
 """Plan semantics on small in-memory records."""
 
+import dataclasses
 import math
 
 import pytest
 
 from recordloom.errors import FilterSyntaxError, ToolError
 from recordloom.expressions import Field, all_of, any_of, logger_prefix, not_
-from recordloom.language import complete_filter, format_field_path, parse_field_path, parse_filter, parse_grouping
+from recordloom.language import FilterChoice, complete_filter, format_field_path, parse_field_path, parse_filter, parse_grouping
+from recordloom.plans import plan as plan_module
 from recordloom.plans.plan import count_rows, max_of, mean_of, min_of, scan, sum_of
 
 VALUES = [True, False, 0, 1, 1.0, 2, 1.5, "1", "a", "", None, [1, "a"], [], {"k": 1}, {}, 2**60, 2**60 + 1]
@@ -119,7 +121,57 @@ def test_language():
         assert error.value.code == code
     for path in (("a",), ("a", "b.c"), ("and", "x"), ('q"', "é")):
         assert parse_field_path(format_field_path(path)) == path
-    assert [c.text for c in complete_filter("le", fields=("level", "line")).choices] == ["level"]
-    assert "AND" in [c.text for c in complete_filter("level exists ").choices]
-    assert [c.text for c in complete_filter("level = ", values={("level",): ('"INFO"',)}).choices] == ['"INFO"']
+    for text in ("gt(a, 1)", "not_in", "a not_in [1]", "logger_prefix(a)", "exists(a, 1)", "in(a)", "a in 3", "a contains 3", 'a = "x', "a[3] = 1", "a. = 1", "not", "a = 1 b", "a matches \"(\""):
+        with pytest.raises(FilterSyntaxError):
+            parse_filter(text)
     assert parse_grouping('a.b as name, ["x"]') == ((("a", "b"), "name"), (("x",), "x"))
+
+
+def spot(text, cursor=None):
+    found = complete_filter(text, cursor, generation=4)
+    return found.kind, found.prefix, found.field_path, found.value_kind, [c.insertion for c in found.choices]
+
+
+def test_completion():
+    assert spot("")[0] == spot("not ")[0] == spot("(a exists) and ")[0] == "expression" and "NOT" in spot("")[4]
+    assert spot("ex") == ("expression", "ex", None, None, ["exists("])
+    assert spot("a.b")[:3] == ("field", "b", ("a",)) and spot('a["b')[:3] == ("field", '"b', ("a",)) and spot("exists(")[:1] == ("field",)
+    assert spot("a st")[4] == ["starts_with"] and spot("a.b ")[0] == "operator" and spot("a not ")[4] == ["IN"]
+    assert spot("a = ")[:4] == ("value", "", ("a",), "any") and spot("a in ")[4] == ["[]"] and spot("a contains ")[4] == ['""']
+    assert spot("a contains_any [1, ")[:4] == ("value", "", ("a",), "any") and complete_filter("a contains_any [").value_source == "array_element"
+    assert spot("a = 1 ")[4] == ["AND", "OR"] and spot("(a = 1 ")[4] == ["AND", "OR", ")"]
+    assert spot("exists(a ")[4] == [")"] and spot("in(a ")[4] == [","] and spot("in(a, ")[4] == ["[]"] and spot("in(a, [1]")[4] == [")"]
+    assert spot("a = = ")[0] == "none" and spot(") ")[0] == "none"
+    with pytest.raises(ValueError):
+        complete_filter("a", 2)
+
+
+def test_applying_a_choice():
+    found = complete_filter("le = 1", 2, generation=1)
+    made = FilterChoice("level", "level")
+    found = dataclasses.replace(found, choices=(made,))
+    assert found.apply(made, text="le = 1", cursor=2, generation=1) == ("level = 1", 5)
+    assert found.apply(made, text="le = 2", cursor=2, generation=1) is None and found.apply(made, text="le = 1", cursor=2, generation=2) is None
+    assert found.apply(FilterChoice("x", "x"), text="le = 1", cursor=2, generation=1) is None
+    found = complete_filter("a in ")
+    assert found.apply(found.choices[0], text="a in ", cursor=5, generation=0) == ("a in []", 6)
+    found = complete_filter("exists(a )", 9)
+    assert found.apply(found.choices[0], text="exists(a )", cursor=9, generation=0) == ("exists(a ) ", 11)
+
+
+def test_what_aggregates_refuse(spark):
+    huge = scan([{"v": 1e308}, {"v": 1e308}]).aggregate(s=sum_of("v"))
+    with pytest.raises(ToolError) as error:
+        huge.execute(spark)
+    assert error.value.code == "data_incompatible"
+    by_array = scan([{"k": [1]}, {"k": [2]}, {"k": 3}]).group_by("k").aggregate(n=count_rows())
+    with pytest.raises(ToolError):
+        by_array.execute(spark)
+    assert by_array.dataframe(spark).count() == 1
+    assert scan([{"a": i} for i in range(5)]).limit(2**31 + 5).execute(spark).metadata["output_rows"] == 5
+    rows = scan([{"a": i} for i in range(30)]).sort_by("a", descending=True)
+    before, plan_module.TOP = plan_module.TOP, 3
+    try:
+        assert [r["a"] for r in rows.limit(7).execute(spark).records] == [29, 28, 27, 26, 25, 24, 23]
+    finally:
+        plan_module.TOP = before
