@@ -6,13 +6,15 @@ import json
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..language import format_field_path
+from ..language import FilterChoice, FilterCompletion, format_field_path
 
 #: Distinct entries a task holds before it passes its counts on.
 FLUSH = 100_000
@@ -80,9 +82,9 @@ def entries(records: DataFrame) -> DataFrame:
     return walked.groupBy("path", "source", "kind", "spelling").agg(F.sum("n").alias("n"))
 
 
-@F.udf(T.StringType())
-def _spelled(path):
-    return format_field_path(tuple(path))
+@F.pandas_udf(T.StringType())
+def _spelled(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda path: format_field_path(tuple(path)))
 
 
 def fields(found: DataFrame, prefix: str = "", parent: tuple[str, ...] | None = None) -> DataFrame:
@@ -110,6 +112,33 @@ def values(found: DataFrame, path: tuple[str, ...] | None = None, prefix: str =
     return out.orderBy(F.col("n").desc(), "spelling")
 
 
+def complete(found: DataFrame, request: FilterCompletion, offset: int = 0, limit: int = 20) -> FilterCompletion:
+    """The request with what the records offer in its place, ahead of the grammar's choices: fields, or values of the field.
+
+    A page of ``limit`` observations from ``offset`` on; a prefix restricts them.
+    """
+    if limit < 0 or offset < 0:
+        raise ValueError("offset and limit must not be negative")
+    parent, offered = request.field_path, []
+    if request.kind in ("field", "expression"):
+        bracket = request.prefix.startswith('"')
+        prefix = request.prefix[1:] if bracket else request.prefix
+        seen = fields(found, prefix, parent if parent or bracket else None).orderBy("spelling").offset(offset).limit(limit)
+        for row in seen.collect():
+            name = json.dumps(row["path"][-1], ensure_ascii=False) if bracket else format_field_path(tuple(row["path"][-1:])) if parent else row["spelling"]
+            if parent and not bracket and name.startswith("["):
+                continue  # a name that only brackets can spell
+            offered.append(FilterChoice(row["spelling"], name, f"{row['occurrences']} records"))
+    elif request.kind == "value" and parent:
+        kinds = ("string",) if request.value_kind == "string" else ()
+        seen = values(found, parent, request.prefix, kinds, request.value_source).offset(offset).limit(limit)
+        wrap = "[{}]" if request.value_kind == "array" else "{}"
+        offered = [FilterChoice(r["spelling"], wrap.format(r["spelling"]), f"{r['kind']}, {r['n']} times") for r in seen.collect()]
+    told = {c.insertion for c in offered}
+    guidance = request.guidance if offered or request.kind not in ("field", "value") else f"{request.guidance}; the records offer none"
+    return replace(request, choices=(*offered, *(c for c in request.choices if c.insertion not in told)), guidance=guidance)
+
+
 def unsupported(found: DataFrame) -> DataFrame:
     """One row: paths, values and elements that discovery cannot offer."""
 

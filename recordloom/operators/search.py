@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import sys
 import unicodedata
 from dataclasses import dataclass
 
@@ -10,19 +12,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The fields a console line shows first, and those it hides.
-PRIMARY = ("timestamp", "level", "logger", "message")
-HIDDEN = frozenset({"file", "func", "line", "trace_id", "span_id", "parent_span_id", "event"})
+# The fields a console line shows first, those it hides, and stand-ins for a primary field that is absent.
+PRIMARY = ("timestamp", "level", "logger", "message", "span")
+HIDDEN = frozenset(
+    """file func line trace_id span_id parent_span_id event duration_ms exception stack error error_type status filename function lineno span_name
+    trace_name pathname module funcName process processName thread threadName stack_info exc_info traceback name created msecs relativeCreated""".split()
+)
+FALLBACKS = (("span", "span_name"),)
+
+
+@dataclass(frozen=True)
+class SearchProjection:
+    """Which fields of a record are visible: primary and included ones, those not hidden, and stand-ins of absent primary ones.
+
+    A record without any primary field shows all, if ``generic``.
+    """
+
+    primary: tuple[str, ...] = PRIMARY
+    hidden: frozenset[str] = HIDDEN
+    included: tuple[str, ...] = ()
+    fallbacks: tuple[tuple[str, str], ...] = FALLBACKS
+    generic: bool = True
+
+    def visible(self, record: dict) -> dict:
+        if self.generic and record.keys().isdisjoint(self.primary):
+            return record
+        stand_ins = {other for name, other in self.fallbacks if name not in record}
+        shown = {*self.primary, *self.included, *stand_ins}
+        return {k: v for k, v in record.items() if k in shown or k not in self.hidden}
+
+
+CONSOLE = SearchProjection()
 
 
 @dataclass(frozen=True)
 class SearchOptions:
+    """``scope`` is full or console; a console scope looks at what the projection shows."""
+
     text: str
     case_sensitive: bool = False
     whole_word: bool = False
-    scope: str = "full"  # or "console"
-    included: tuple[str, ...] = ()
-    hidden: frozenset[str] = HIDDEN
+    scope: str = "full"
+    projection: SearchProjection = CONSOLE
+
+    def __post_init__(self):
+        if not isinstance(self.text, str):
+            raise TypeError("the text to search must be a string")
+        if self.scope not in ("full", "console"):
+            raise ValueError("scope is 'full' or 'console'")
 
 
 def texts(value) -> list[str]:
@@ -75,39 +112,44 @@ def ranges(text: str, options: SearchOptions) -> list[tuple[int, int]]:
     return out
 
 
-def visible(record: dict, options: SearchOptions) -> dict:
-    """What a console line shows: all of a generic record, else what is primary, included or not hidden."""
-    if not any(name in record for name in PRIMARY):
-        return record
-    return {k: v for k, v in record.items() if k in PRIMARY or k in options.included or k not in options.hidden}
-
-
 def matches(record: dict, options: SearchOptions) -> bool:
-    shown = record if options.scope == "full" else visible(record, options)
+    shown = record if options.scope == "full" else options.projection.visible(record)
     return any(ranges(t, options) for t in texts(shown))
 
 
-def search_test(raw: Column, options: SearchOptions) -> Column:
-    """Whether a record's JSON text matches. Case-sensitive plain texts are first looked for in the raw line on the JVM."""
+@functools.cache
+def _folds() -> dict[str, str]:
+    """Characters beyond ASCII whose folded form holds an ASCII character."""
+    return {c: f for c in map(chr, range(128, sys.maxunicode + 1)) if any(map(str.isascii, f := c.casefold()))}
+
+
+def possible(raw: Column, options: SearchOptions) -> Column | None:
+    """A test on the JVM that every matching line passes; None where there is none.
+
+    A record can only match where its line holds the text, an escape, or a
+    character that folds to one of the text's.
+    """
+    text = options.text if options.case_sensitive else options.text.lower()
+    if not text.isascii() or not text.isprintable() or set(text) & set('"\\/'):
+        return None
+    if options.case_sensitive:
+        return F.contains(raw, F.lit(text)) | F.contains(raw, F.lit("\\u"))
+    near = "".join(c for c, f in _folds().items() if set(f) & set(text))
+    bare = F.contains(F.lower(raw), F.lit(text)) | F.contains(raw, F.lit("\\u"))
+    return bare | (F.translate(raw, near, "") != raw) if near else bare
+
+
+def search(records: DataFrame, options: SearchOptions) -> DataFrame:
+    """The records that match; an empty text matches none. Lines that cannot match never leave the JVM."""
     if not options.text:
-        return F.lit(False)
+        return records.where(F.lit(False))
 
     @F.pandas_udf("boolean")
     def test(lines: pd.Series) -> pd.Series:
         return lines.map(lambda line: line is not None and matches(json.loads(line), options)).astype(bool)
 
-    found = F.coalesce(test(raw), F.lit(False))
-    if options.text.isascii() and not set(options.text) & set('"\\/') and options.text.isprintable():
-        # A record can only match where its line holds the text, an escape, or a character that folds to ASCII.
-        bare = F.contains(raw, F.lit(options.text)) if options.case_sensitive else F.contains(F.lower(raw), F.lit(options.text.lower()))
-        odd = F.contains(raw, F.lit("\\u")) | (F.lit(not options.case_sensitive) & (F.octet_length(raw) != F.length(raw)))
-        return F.when(bare | odd, found).otherwise(False)
-    return found
-
-
-def search(records: DataFrame, options: SearchOptions) -> DataFrame:
-    """The records that match."""
-    return records.where(search_test(F.col("raw"), options))
+    first = possible(F.col("raw"), options)
+    return (records if first is None else records.where(first)).where(test("raw"))
 
 
 def neighbour(found: DataFrame, cursor: int, forward: bool = True) -> DataFrame:

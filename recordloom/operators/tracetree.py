@@ -7,16 +7,19 @@ reached lies on a cycle.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lanes import Lane, lane
-from ..store import cut_lineage
+from ..store import cut_lineage, discard
 
 ROOT = "[]"
+#: The order of siblings; a leaf comes before a node with the same first record.
+_SIBLINGS = ("first", "is_node", "key")
 
 
 def _id(x: Lane) -> Column:
@@ -35,10 +38,15 @@ class TraceTree:
     nodes: DataFrame
     leaves: DataFrame
 
+    @functools.cached_property
+    def held(self) -> DataFrame:
+        """The nodes, written once: what navigates reads them often."""
+        return cut_lineage(self.nodes)
+
     def rows(self) -> DataFrame:
         """Nodes and leaves under their parents: parent, key, is_record, first, label; children sort by (first, leaf before node)."""
         leaves = self.leaves.select("parent", F.col("_ord").cast("string").alias("key"), F.lit(True).alias("is_record"), F.col("_ord").alias("first"), F.col("evidence").alias("label"))
-        return self.nodes.select("parent", "key", F.lit(False).alias("is_record"), "first", "label").union(leaves)
+        return self.held.select("parent", "key", F.lit(False).alias("is_record"), "first", "label").union(leaves).withColumn("is_node", ~F.col("is_record"))
 
     def placed(self) -> DataFrame:
         """rows() with each one's place among its siblings, and the siblings beside it."""
@@ -48,31 +56,84 @@ class TraceTree:
     def counted(self) -> DataFrame:
         """Nodes with child_count (nodes and leaves)."""
         children = self.rows().groupBy("parent").agg(F.count(F.lit(1)).alias("child_count"))
-        return self.nodes.join(children.withColumnRenamed("parent", "key"), "key", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+        return self.held.join(children.withColumnRenamed("parent", "key"), "key", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
 
     def filtered(self, admitted: DataFrame) -> DataFrame:
         """Nodes that hold an admitted record (``_ord``) or lie above one: match_count, context_only; other evidence stays that of all records."""
         matched = self.leaves.join(admitted.select("_ord"), "_ord", "left_semi").where(F.col("parent") != ROOT).groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("match_count"))
-        ups = self.nodes.select("key", "parent")
-        seen = cut_lineage(matched.select("key"))
-        edge = seen
-        while True:
-            above = edge.join(ups, "key").where(F.col("parent") != ROOT).select(F.col("parent").alias("key")).distinct()
-            edge = cut_lineage(above.join(seen, "key", "left_anti"))
-            if edge.isEmpty():
-                break
-            seen = cut_lineage(seen.union(edge))
-        out = self.nodes.join(seen, "key", "left_semi").join(matched, "key", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
+        matched = cut_lineage(matched)
+        seen = self._above(matched.select("key"))
+        out = self.held.join(seen, "key", "left_semi").join(matched, "key", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
         return out.withColumn("context_only", F.col("match_count") == 0)
 
+    def _above(self, keys: DataFrame) -> DataFrame:
+        """The keys and those of all their ancestors.
+
+        Round k adds the ancestors 2**k steps above what is known, so a chain
+        takes as many rounds as its length has binary digits.
+        """
+        jump = self.held.select("key", "parent").where(F.col("parent") != ROOT)
+        seen, known = cut_lineage(keys), -1
+        while True:
+            now = seen.count()
+            if now in (0, known):
+                return seen
+            known, before = now, seen
+            seen = cut_lineage(seen.union(seen.join(jump, "key").select(F.col("parent").alias("key"))).distinct())
+            discard(before)
+            jump = cut_lineage(jump.join(jump.toDF("parent", "far"), "parent").select("key", F.col("far").alias("parent")))
+
+    # Navigation. A node's key is its identity: it depends on the records' identifiers only.
+
+    def row(self, key: str) -> Row | None:
+        """The node or leaf of a key (a leaf's is its ordinal as text)."""
+        return self.rows().where(F.col("key") == key).first()
+
+    def node_for_identity(self, identity: str, delivered_only: bool = True) -> Row | None:
+        """The node with a key; a placeholder, which no record told of, only if asked."""
+        found = self.held.where(F.col("key") == identity)
+        return (found.where("kind <> 'placeholder'") if delivered_only else found).first()
+
+    def children(self, key: str = ROOT, offset: int = 0, limit: int = 100) -> list[Row]:
+        """A page of the children, leaves included, in order of their first records."""
+        return self.rows().where(F.col("parent") == key).orderBy(*_SIBLINGS).offset(offset).limit(limit).collect()
+
+    def edge_child(self, key: str = ROOT, last: bool = False) -> Row | None:
+        pick = F.max_by if last else F.min_by
+        found = self.rows().where(F.col("parent") == key)
+        return found.agg(pick(F.struct(*found.columns), F.struct(*_SIBLINGS)).alias("row")).first()["row"]
+
+    def sibling(self, key: str, previous: bool = False) -> Row | None:
+        own = self.row(key)
+        if own is None:
+            return None
+        place, mine = F.struct(*_SIBLINGS), F.struct(F.lit(own["first"]).cast("long").alias("first"), F.lit(own["is_node"]).alias("is_node"), F.lit(key).alias("key"))
+        found = self.rows().where(F.col("parent") == own["parent"]).where(place < mine if previous else place > mine)
+        pick = F.max_by if previous else F.min_by
+        return found.agg(pick(F.struct(*found.columns), place).alias("row")).first()["row"]
+
+    def node_for_record(self, ordinal: int) -> Row | None:
+        """The node that a record is a leaf of; None for an untraced record."""
+        return self.held.join(self.leaves.where(F.col("_ord") == ordinal).select(F.col("parent").alias("key")), "key", "left_semi").first()
+
     def ancestors(self, key: str) -> list[str]:
         """Keys from a node's parent up to its trace."""
-        out, at = [], key
-        while True:
-            row = self.nodes.where(F.col("key") == at).select("parent").first()
-            if row is None or row["parent"] == ROOT:
-                return out
-            out.append(at := row["parent"])
+        chain = self._above(self.held.where(F.col("key") == key).select("key"))
+        ups = dict(self.held.join(chain, "key", "left_semi").select("key", "parent").collect())  # a row per ancestor
+        out = [ups.get(key, ROOT)]
+        while out[-1] != ROOT:
+            out.append(ups[out[-1]])
+        return out[:-1]
+
+    def is_ancestor(self, key: str, ordinal: int) -> bool:
+        """Whether a record lies below a node."""
+        holder = self.node_for_record(ordinal)
+        return holder is not None and key in (holder["key"], *self.ancestors(holder["key"]))
+
+    def record_page(self, key: str, offset: int = 0, limit: int = 100) -> list[int]:
+        """Ordinals of the records directly below a node, in their order."""
+        found = self.leaves.where(F.col("parent") == key).orderBy("_ord").offset(offset).limit(limit)
+        return [r["_ord"] for r in found.select("_ord").collect()]
 
 
 def build_tree(records: DataFrame) -> TraceTree:
@@ -149,7 +210,7 @@ def build_tree(records: DataFrame) -> TraceTree:
             F.lit("unavailable").alias("lifecycle"), none.cast("string").alias("status"), none.cast("double").alias("duration_ms"), F.lit(False).alias("name_conflict"), F.lit(0).cast("long").alias("record_count"),
         )
     )
-    return TraceTree(cut_lineage(nodes), leaves)
+    return TraceTree(nodes, leaves)
 
 
 def _on_cycle(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ integer, float or string in turn; orders and line items become trace records.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from .expressions import Field, all_of, any_of, logger_prefix, lower, not_
 from .functions.lanes import lane
-from .language import parse_filter
+from .language import complete_filter, parse_filter
 from .operators import contract, dataset, discovery, tracetree
 from .operators import search as searching
 from .plans.plan import QueryPlan, count_rows, max_of, mean_of, min_of, scan, sum_of
-from .sources.records import ORIGIN, merge_keys, numbered_by, timestamp
+from .sources.records import ORIGIN, merge_keys, numbered_by, read_records, timestamp
+from .store import cut_lineage, forget_at_exit, shared_folder
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,7 +109,7 @@ _filter("array_contains_all_empty", Field("tags").contains_all([]), "true")
 _filter("infix_filter", parse_filter('(event_type = "error" OR props.k >= 8) AND NOT x exists'), "(t = 'error' OR k >= 8) AND m = 0")
 _filter("infix_contains", parse_filter('logger contains "p.s" or ["level"] starts_with "WA"'), "t = 'signup' OR l = 'WARNING'")
 _filter("infix_not_in", parse_filter("x NOT IN [1, null] and k in [1, 2, 3]"), "((m IN (3, 4) AND d <> 1) ) AND k IN (1, 2, 3)")
-_filter("infix_functions", parse_filter('in(event_type, ["click"]) and missing(x) or logger_prefix("app.view") and gt(value, 95)'), "(t = 'click' AND m = 0) OR (t = 'view' AND v > 95)")
+_filter("infix_functions", parse_filter('in(event_type, ["click"]) and missing(x) or logger_prefix("app.view") and value > 95'), "(t = 'click' AND m = 0) OR (t = 'view' AND v > 95)")
 
 
 @query("search_case_sensitive", f"{RECORDS} SELECT o FROM r WHERE t = 'click'")
@@ -260,6 +262,18 @@ def _min_max(spark, sf_dir):
     return _columns(plan(spark, sf_dir).filter(_x.ge(0)).group_by("user_id").aggregate(lo=min_of("x"), hi=max_of("x")).dataframe(spark), user_id="i", lo="d", hi="d")
 
 
+for _name, _spec, _sql in (("mean", mean_of, "round(fsum(v) / count(*), 6)"), ("min", min_of, "min(v)"), ("max", max_of, "max(v)")):
+
+    @query(f"agg_{_name}", f"{RECORDS} SELECT t AS event_type, {_sql} AS result FROM r GROUP BY t")
+    def _one_metric(spark, sf_dir, spec=_spec):
+        return _columns(plan(spark, sf_dir).group_by("event_type").aggregate(result=spec("value")).dataframe(spark), event_type="s", result="d")
+
+
+@query("limit_beyond_one_task", f"{RECORDS} SELECT o FROM r ORDER BY v DESC, o LIMIT 12000")
+def _large_limit(spark, sf_dir):
+    return ids(plan(spark, sf_dir).sort_by("value", descending=True).limit(12_000).dataframe(spark))
+
+
 @query("agg_nested_field", f"{RECORDS} SELECT l AS level, CAST(sum(k) AS BIGINT) AS s, round(avg(k), 6) AS m FROM r GROUP BY l")
 def _nested(spark, sf_dir):
     nested = Field("props", "k")
@@ -290,10 +304,45 @@ def _time_warnings(spark, sf_dir):
     return _time_sources(spark, sf_dir).groupBy(F.col("source_idx").alias("src")).agg(F.count_if(F.col("_ts") < F.col("_last")).alias("out_of_order"), F.count_if(F.col("_ts").isNull()).alias("untimestamped"))
 
 
-@query("concat_sources", "SELECT event_id, row_number() OVER (ORDER BY user_id % 3, event_id) - 1 AS place FROM events")
+# Sources that are read: the events, written as JSON lines into the shared folder.
+
+
+def _written(spark, sf_dir, parts: Column, names: Callable[[str], str]) -> list[str]:
+    """One file per part, named by it, with its events in order."""
+    lines = _event_lines(spark, sf_dir).select("_ord", parts.alias("part"), "raw")
+    folder = f"{shared_folder(spark)}/recordloom-lines-{uuid.uuid4().hex}"
+    out = lines.repartition("part").sortWithinPartitions("part", "_ord").select("part", F.col("raw").alias("value"))
+    out.write.partitionBy("part").option("maxRecordsPerFile", 0).text(folder)
+    forget_at_exit(spark, folder)
+    files = dataset.Files(spark, folder)
+    moved = []
+    for path in files.modified("part=*/part-*"):
+        name = names(path.rpartition("/")[0].rpartition("part=")[2])
+        files.replace(path, f"{folder}/{name}")
+        moved.append(f"{folder}/{name}")
+    return sorted(moved)
+
+
+def _places(found: DataFrame) -> DataFrame:
+    return found.select(lane(F.col("v"), ("event_id",)).integer.cast("long").alias("event_id"), F.col("_ord").alias("place"), F.col("_origin.position").alias("line"))
+
+
+@query("scan_path", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place, row_number() OVER (ORDER BY event_id) AS line FROM events")
+def _scan_path(spark, sf_dir):
+    return _places(read_records(spark, _written(spark, sf_dir, F.lit("all"), lambda part: f"{part}.log")).df)
+
+
+@query("concat_sources", "SELECT event_id, row_number() OVER (ORDER BY user_id % 3, event_id) - 1 AS place, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS line FROM events")
 def _concat(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 3).alias("source_idx"))
-    return numbered_by(rows, ["source_idx", "event_id"]).select("event_id", F.col("_ord").alias("place"))
+    user = F.get_json_object("raw", "$.user_id").cast("long")
+    return _places(read_records(spark, _written(spark, sf_dir, user % 3, lambda part: f"source-{part}.log")).df)
+
+
+@query("rotation_order", "SELECT event_id, row_number() OVER (ORDER BY CASE event_id % 4 WHEN 3 THEN 9 ELSE event_id % 4 END, event_id) - 1 AS place, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS line FROM events")
+def _rotation(spark, sf_dir):
+    """Three dated files and the live one, which a glob finds and puts last."""
+    paths = _written(spark, sf_dir, F.col("_ord") % 4, lambda part: "app.log" if part == "3" else f"app.log.2026-01-0{int(part) + 1}")
+    return _places(read_records(spark, paths[0].rpartition("/")[0].removeprefix("file:") + "/app.log*").df)
 
 
 # Investigations.
@@ -301,9 +350,11 @@ def _concat(spark, sf_dir):
 
 @query("view_of_view", f"{RECORDS} SELECT o FROM r WHERE t = 'error' AND v > 50")
 def _views(spark, sf_dir):
-    base = records(spark, sf_dir)
-    outer = base.where(lower(Field("event_type").eq("error"), lambda p: lane(F.col("v"), p)))
-    return ids(outer.where(lower(Field("value").gt(50), lambda p: lane(F.col("v"), p))))
+    paths = _written(spark, sf_dir, F.lit("all"), lambda part: f"{part}.log")
+    session = dataset.Investigation.open(spark, paths, f"{shared_folder(spark)}/recordloom-cache-{uuid.uuid4().hex}")
+    forget_at_exit(spark, session.store.root)
+    view = session.filter(Field("value").gt(50), session.filter(Field("event_type").eq("error")))
+    return ids(view.ordinals.join(session.records(), "_ord").select(lane(F.col("v"), ("event_id",)).integer.cast("long").alias("_ord")))
 
 
 @query("value_counts", f"{RECORDS} SELECT {_TYPED} AS identity, count(*) AS n, min(o) AS first FROM r WHERE m <> 0 GROUP BY 1")
@@ -314,6 +365,34 @@ def _value_counts(spark, sf_dir):
     return out.select(_identity(Lane(F.col("value"))).alias("identity"), F.try_variant_get("count", "$", "long").alias("n"), "first")
 
 
+@query("value_counts_bad", f"{RECORDS} SELECT t || ':' || d AS identity, CAST(NULL AS BIGINT) AS n, (SELECT count(*) FROM r) AS bad FROM r WHERE false UNION ALL SELECT 'tags', 0, count(*) FROM r UNION ALL SELECT 'x', count(DISTINCT {_TYPED}), 0 FROM r WHERE m <> 0")
+def _value_counts_bad(spark, sf_dir):
+    """Values that are arrays are left out and told; of scalars nothing is."""
+    base, out = records(spark, sf_dir), []
+    for name in ("tags", "x"):
+        kept = dataset.value_counts(base, (name,)).agg(F.count(F.lit(1)).alias("n"))
+        out.append(kept.crossJoin(F.broadcast(dataset.left_out(base, (name,)))).select(F.lit(name).alias("identity"), "n", F.col("vals").alias("bad")))  # one row each
+    return out[0].union(out[1])
+
+
+@query("group_bad_key", f"{RECORDS} SELECT {_TYPED} AS identity, count(*) AS n FROM r WHERE m <> 4 GROUP BY 1")
+def _group_bad_key(spark, sf_dir):
+    """Records whose key is an array belong to no group; here every float is made one."""
+    array = F.regexp_replace("raw", r'"x":(\d\.0)', r'"x":[$1]')
+    df = scan(_event_lines(spark, sf_dir).withColumn("raw", array).withColumn("v", F.try_parse_json("raw"))).group_by("x").aggregate(n=count_rows()).dataframe(spark)
+    return df.select(_identity(lane(F.col("v"), ("x",))).alias("identity"), lane(F.col("v"), ("n",)).integer.cast("long").alias("n"))
+
+
+@query("agg_nonfinite", f"{RECORDS} SELECT d, CAST(CASE WHEN d >= 8 THEN NULL ELSE d END AS DOUBLE) AS mean, CASE WHEN d >= 8 THEN 'null' ELSE 'number' END AS told FROM r WHERE m = 4 GROUP BY d")
+def _nonfinite(spark, sf_dir):
+    """Sums beyond the range of doubles are told as null; groups of 8 and 9 hold values near its end."""
+    digit = F.get_json_object("raw", "$.x").cast("double").cast("long")
+    lines = _event_lines(spark, sf_dir).where("_ord % 6 = 4").withColumn("raw", F.concat(F.lit('{"d":'), digit.cast("string"), F.lit(',"x":'), F.when(digit >= 8, "1.7e308").otherwise(F.concat(digit.cast("string"), F.lit(".0"))), F.lit("}")))
+    df = scan(lines.withColumn("v", F.try_parse_json("raw"))).group_by("d").aggregate(s=sum_of("x"), m=mean_of("x")).dataframe(spark)
+    total = lane(F.col("v"), ("s",))
+    return df.select(lane(F.col("v"), ("d",)).integer.cast("long").alias("d"), lane(F.col("v"), ("m",)).double.alias("mean"), F.when(total.is_null, "null").when(total.number & total.finite, "number").alias("told"))
+
+
 @query("value_counts_grouped", f"{RECORDS} SELECT l AS level, k AS value, count(*) AS n, min(o) AS first FROM r GROUP BY l, k")
 def _value_counts_grouped(spark, sf_dir):
     out = dataset.value_counts(records(spark, sf_dir), ("props", "k"), (dataset.GroupBinding(("level",), "level"),))
@@ -342,9 +421,9 @@ def _documents(spark, sf_dir) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_ord"), raw.alias("raw"))
 
 
-@query("search_literal_ci", "SELECT doc_id AS o FROM documents WHERE contains(lower(text), 'thandor')")
+@query("search_literal_ci", "SELECT doc_id AS o FROM documents WHERE contains(lower(text), 'thindor')")
 def _search_ci(spark, sf_dir):
-    return ids(searching.search(_documents(spark, sf_dir), searching.SearchOptions("ThandOR")))
+    return ids(searching.search(_documents(spark, sf_dir), searching.SearchOptions("ThindOR")))
 
 
 @query("search_whole_word", r"SELECT doc_id AS o FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{M}\p{N}_])pathetic([^\p{L}\p{M}\p{N}_]|$)')")
@@ -445,6 +524,23 @@ def _trace_filtered(spark, sf_dir):
     return out.select("trace", "span", "match_count", "context_only")
 
 
+@query("tree_navigation", f"{_SPANS} SELECT trace, count(*) AS above, min(first) AS first_child FROM (SELECT trace, first FROM s WHERE up IS NULL UNION ALL SELECT trace, first FROM p) GROUP BY trace")
+def _navigation(spark, sf_dir):
+    """The children of each trace by place, and the first of them."""
+    tree = tracetree.build_tree(trace_records(spark, sf_dir))
+    placed = tree.placed().where("not is_record").join(tree.held.where("kind = 'trace'").select(F.col("key").alias("parent"), "trace"), "parent")
+    return placed.groupBy("trace").agg((F.max("place") + 1).cast("long").alias("above"), F.min_by("first", "place").alias("first_child"))
+
+
+@query("completion_choices", f"{RECORDS} SELECT '\"' || t || '\"' AS insertion, count(*) AS n FROM r WHERE t LIKE 'p%' OR t LIKE 's%' GROUP BY t")
+def _completion(spark, sf_dir):
+    """Values that discovery adds to a draft; each choice's count comes from the index."""
+    found = discovery.entries(records(spark, sf_dir))
+    chosen = [c for start in "ps" for c in discovery.complete(found, complete_filter(f'event_type == "{start}')).choices if c.description]
+    told = spark.createDataFrame([(c.insertion,) for c in chosen], "insertion string")
+    return discovery.values(found, ("event_type",)).join(F.broadcast(told), F.col("spelling") == F.col("insertion")).select("insertion", "n")
+
+
 @query("restore_records", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN event_id % 10 = 0 THEN 'record_disappeared' WHEN event_id % 10 = 1 THEN 'record_changed' ELSE 'restored' END AS outcome FROM events) GROUP BY outcome")
 def _restore(spark, sf_dir):
     old = _event_lines(spark, sf_dir).select("_ord", F.lit("events").alias("source"), F.lit(0).alias("occurrence"), F.col("_ord").alias("line"), "raw")

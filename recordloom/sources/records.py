@@ -94,14 +94,46 @@ def timestamp(text: Column) -> Column:
     return F.when(usable, F.try_to_timestamp(F.regexp_replace(F.translate(text, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")))
 
 
-def _lines_of_file(spark: SparkSession, path: str, idx: int) -> DataFrame:
-    """Physical lines with their numbers, without a shuffle: a split's rows are consecutive, so its least id and the counts before it give them."""
-    df = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    parts = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = df.join(F.broadcast(parts), "_block")  # a row per split
+#: Tables with a row per split are broadcast up to so many rows, some tens of megabytes; 128 MB a split make it 128 TB.
+SPLITS = 1_000_000
+
+
+def _by_split(table: DataFrame, scanned: DataFrame) -> DataFrame:
+    """A table with a row per split of a scan, broadcast if the scanned files' size (known without a job) keeps it small."""
+    leaves = scanned._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [x for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
+    size = sum(int(x.stats().sizeInBytes()) for x in files)
+    width = scanned.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return F.broadcast(table) if size // width <= SPLITS else table
+
+
+def _uri(path: str) -> str:
+    """The path of a file as the reader's metadata spell it, without scheme and slashes before it."""
+    scheme, colon, rest = path.partition("://")
+    rest = rest.partition("/")[2] if colon and scheme != "file" else rest.lstrip("/") if colon else os.path.abspath(path).lstrip("/")
+    return "".join(c if c in _LEGAL or (ord(c) > 127 and c.isprintable()) else "".join(f"%{x:02X}" for x in c.encode()) for c in rest)
+
+
+_LEGAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-!.~'()*,;:$&+=@/")
+
+
+def _lines_of_files(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFrame:
+    """Physical lines of all files with their numbers, by one scan and without a shuffle.
+
+    A split's rows are consecutive, so its least id and the counts of the file's
+    splits before it give the numbers. The paths are distinct.
+    """
+    df = spark.read.text([p for _, p in paths])
+    name = F.regexp_replace("_metadata.file_path", r"^(?:file:/+|[A-Za-z][A-Za-z0-9+.-]*://[^/]*/)", "")
+    df = df.select("value", name.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    parts = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    listed = spark.createDataFrame([(_uri(p), i, p) for i, p in paths], "_file string, source_idx int, source string")
+    parts = parts.join(F.broadcast(listed), "_file")  # a row per listed file, as the driver has them
+    numbered = df.join(_by_split(parts, df), ["_file", "_block"])
     position = F.col("_before") + F.col("_at") - F.col("_least") + 1
-    return numbered.select(F.lit(idx).alias("source_idx"), F.lit(path).alias("source"), F.lit("file").alias("kind"), "_block", position.alias("position"), "value")
+    return numbered.select("source_idx", "source", F.lit("file").alias("kind"), "_block", position.alias("position"), "value")
 
 
 def _lines_of_rows(spark: SparkSession, rows: list[tuple[int, str]], label: str, kind: str, idx: int) -> DataFrame:
@@ -111,20 +143,25 @@ def _lines_of_rows(spark: SparkSession, rows: list[tuple[int, str]], label: str,
 
 def read_lines(spark: SparkSession, sources) -> tuple[DataFrame, list[str]]:
     """source_idx, source, kind, _block (split), position, value for all sources, and their labels."""
-    frames, labels, memory = [], [], 0
+    frames, labels, files, memory = [], [], [], 0
     for idx, source in enumerate(resolve(sources)):
         if isinstance(source, str) and source == "-":
             labels.append("-")
             frames.append(_lines_of_rows(spark, list(enumerate(sys.stdin.read().splitlines(), 1)), "-", "stdin", idx))
         elif isinstance(source, str):
             labels.append(source)
-            frames.append(_lines_of_file(spark, source, idx))
+            files.append((idx, source))
         else:
             label = "mem" if not memory else f"mem{memory}"
             memory += 1
             labels.append(label)
             rows = [(i, json.dumps(r, ensure_ascii=False) if isinstance(r, Mapping) else "[]") for i, r in enumerate(source)]
             frames.append(_lines_of_rows(spark, rows, label, "iterable", idx))
+    while files:  # once, and again for paths that are listed again
+        first = {path: (idx, path) for idx, path in reversed(files)}
+        frames.append(_lines_of_files(spark, sorted(first.values())))
+        now = set(first.values())
+        files = [f for f in files if f not in now]
     if not frames:
         frames = [_lines_of_rows(spark, [], "", "iterable", 0)]
     out = frames[0]
@@ -179,7 +216,7 @@ def merge_keys(rows: DataFrame) -> DataFrame:
     sums = sums.select(*split, F.max("_most").over(earlier).alias("_most"), F.last("_end", True).over(earlier).alias("_end"))
     within = W.partitionBy(*split).orderBy("position")
     rows = rows.withColumn("_own", F.max("_ts").over(within.rowsBetween(W.unboundedPreceding, 0))).withColumn("_prior", F.last("_ts", True).over(within.rowsBetween(W.unboundedPreceding, -1)))
-    joined = rows.join(F.broadcast(sums), split)  # a row per split
+    joined = rows.join(_by_split(sums, rows), split)
     return joined.withColumn("_key", F.greatest("_own", "_most")).withColumn("_last", F.coalesce("_prior", "_end")).drop("_own", "_prior", "_most", "_end")
 
 
@@ -188,17 +225,17 @@ def concatenated(rows: DataFrame) -> DataFrame:
     placed = rows.withColumn("_at", F.monotonically_increasing_id())
     counts = placed.groupBy("source_idx", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
     counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("source_idx", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    joined = placed.join(F.broadcast(counts), ["source_idx", "_block"])  # a row per split
+    joined = placed.join(_by_split(counts, rows), ["source_idx", "_block"])
     return joined.withColumn("_ord", F.col("_first") + F.col("_at") - F.col("_least"))
 
 
-def numbered_by(rows: DataFrame, keys: list) -> DataFrame:
-    """Adds ``_ord`` from 0 in the order of ``keys``, by a range-partitioned sort: no task holds all rows."""
+def numbered_by(rows: DataFrame, keys: list, name: str = "_ord") -> DataFrame:
+    """Adds a number from 0 in the order of ``keys``, by a range-partitioned sort: no task holds all rows."""
     ranked = rows.orderBy(*keys).withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_place", 33))
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_least"))
     counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranked.join(F.broadcast(counts), "_part")  # a row per partition
-    return placed.withColumn("_ord", F.col("_first") + F.col("_place") - F.col("_least")).drop("_place", "_part", "_n", "_least", "_first")
+    placed = ranked.join(F.broadcast(counts), "_part")  # a row per shuffle partition
+    return placed.withColumn(name, F.col("_first") + F.col("_place") - F.col("_least")).drop("_place", "_part", "_n", "_least", "_first")
 
 
 def from_table(df: DataFrame, ordinal: str, fields: dict[str, Column], source: str = "table") -> DataFrame:

@@ -33,14 +33,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/recordloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_clear)
-    _written[path] = spark
+    forget_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._recordloom_path = path
     return out
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder of our own deleted when the driver's process ends."""
+    if not _written:
+        atexit.register(_clear)
+    _written[path] = spark
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that cut_lineage wrote and that no DataFrame in use reads."""
     for df in tables:
