@@ -164,12 +164,10 @@ class CacheStore:
         return Files(spark, self.root)
 
     def manifest(self, spark: SparkSession, paths: list[str]) -> dict | None:
-        text = self._files(spark).read(f"{cache_key(paths)}/manifest.json")
-        if text is None:
-            return None
         try:
-            return json.loads(text)
-        except ValueError as error:
+            text = self._files(spark).read(f"{cache_key(paths)}/manifest.json")
+            return None if text is None else json.loads(text)
+        except Exception as error:
             raise ToolError("cache_corrupt", f"the manifest of {paths} cannot be read") from error
 
     def verified(self, spark: SparkSession, paths: list[str]) -> dict | None:

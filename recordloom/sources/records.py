@@ -109,11 +109,12 @@ def _by_split(table: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def _uri(path: str) -> str:
     """The path of a file as the reader's metadata spell it, without scheme and slashes before it."""
-    scheme, colon, rest = path.partition("://")
-    rest = rest.partition("/")[2] if colon and scheme != "file" else rest.lstrip("/") if colon else os.path.abspath(path).lstrip("/")
+    known = _SCHEME.match(path)
+    rest = path[known.end() :] if known else os.path.abspath(path).lstrip("/")
     return "".join(c if c in _LEGAL or (ord(c) > 127 and c.isprintable()) else "".join(f"%{x:02X}" for x in c.encode()) for c in rest)
 
 
+_SCHEME = re.compile(r"^(?:file:/+|[A-Za-z][A-Za-z0-9+.-]*://[^/]*/+)")
 _LEGAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-!.~'()*,;:$&+=@/")
 
 
@@ -124,13 +125,15 @@ def _lines_of_files(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFr
     splits before it give the numbers. The paths are distinct.
     """
     df = spark.read.text([p for _, p in paths])
-    name = F.regexp_replace("_metadata.file_path", r"^(?:file:/+|[A-Za-z][A-Za-z0-9+.-]*://[^/]*/)", "")
+    name = F.regexp_replace("_metadata.file_path", _SCHEME.pattern, "")
     df = df.select("value", name.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     parts = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
     earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     listed = spark.createDataFrame([(_uri(p), i, p) for i, p in paths], "_file string, source_idx int, source string")
-    parts = parts.join(F.broadcast(listed), "_file")  # a row per listed file, as the driver has them
+    parts = parts.join(F.broadcast(listed), "_file", "left")  # a row per listed file, as the driver has them
+    unknown = F.raise_error(F.concat(F.lit("a file that was not listed: "), "_file")).cast("int")
+    parts = parts.withColumn("source_idx", F.coalesce("source_idx", unknown))
     numbered = df.join(_by_split(parts, df), ["_file", "_block"])
     position = F.col("_before") + F.col("_at") - F.col("_least") + 1
     return numbered.select("source_idx", "source", F.lit("file").alias("kind"), "_block", position.alias("position"), "value")
