@@ -70,6 +70,27 @@ def labelled(spark, seed=1, n=600):
     return documents(spark, texts), labels, good, toxic
 
 
+def plain_cover(texts, toxic):
+    left, chosen, covered = {e for found, _ in texts for e in found}, set(), set()
+    while left:
+        gain = {e: sum(label for i, (found, label) in enumerate(texts) if e in found and i not in covered) - 3 * sum(1 - label for found, label in texts if e in found) for e in left}
+        best = max(left, key=lambda e: (gain[e], len(e), e))
+        if gain[best] < max(2, toxic // 500):
+            break
+        chosen.add(best)
+        left.remove(best)
+        covered |= {i for i, (found, label) in enumerate(texts) if best in found and label}
+    return chosen
+
+
+def test_cover_with_ties_is_that_of_a_plain_search():
+    rng = random.Random(5)
+    for _ in range(200):
+        texts = [({rng.choice(("aa", "ab", "ba", "aba", "bb", "abb")) for _ in range(rng.randrange(4))}, int(rng.random() < 0.8)) for _ in range(rng.randrange(30))]
+        toxic = sum(label for _, label in texts)
+        assert toxicity._cover(texts, toxic) == plain_cover(texts, toxic)
+
+
 def test_held_out_accuracy(spark):
     docs, labels, good, toxic = labelled(spark)
     model = toxicity.fit(docs, labels)

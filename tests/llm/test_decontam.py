@@ -1,7 +1,7 @@
 import random
 import re
 
-from recordloom.llm.decontam import decontaminate
+from recordloom.llm.decontam import decontaminate, keep_clean
 
 from .helpers import documents, sentence, sha
 
@@ -56,3 +56,17 @@ def test_edges(spark):
     docs = documents(spark, ["a b", None], [None, 3])
     assert sorted((r.n_words, r.n_hit, r.contaminated) for r in decontaminate(docs, bench).collect()) == [(0, 0, False), (2, 0, False)]
     assert decontaminate(documents(spark, []), bench).count() == 0
+
+
+def test_repeated_rows_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(9)
+    item = " ".join(sentence(rng, 20, 60))
+    long = " ".join(sentence(rng, 60_000, 10**6)) + " " + item
+    texts, ids = [item, item, f"x {item} y", long, "clean text", None], [4, 4, 4, 7, None, 7]
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    docs = documents(spark, texts, ids).withColumnRenamed("lang", "items").withColumnRenamed("source", "cover")
+    want = [(i, *row[1:]) for i, row in zip(ids, brute(texts, [(1, item)]), strict=True)]
+    assert sorted(map(repr, (tuple(r) for r in decontaminate(docs, bench).collect()))) == sorted(map(repr, want))
+    kept = keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 7]
+    assert sorted(r.doc_id or -1 for r in keep_clean(docs, bench, percent=5).collect()) == [-1, 7, 7]  # a twentieth of the long text is more than the item

@@ -1,6 +1,7 @@
 import random
 
-from recordloom.llm.neardup import near_duplicates
+from recordloom.llm import state
+from recordloom.llm.neardup import near_duplicates, without_near_duplicates
 
 from .helpers import documents, family_texts, sentence
 
@@ -55,3 +56,22 @@ def test_edges(spark):
     texts = ["a b c d e f", "a b c d e f", None, "a b c d e f"]
     rows = near_duplicates(documents(spark, texts, [4, 2, 2, None]).withColumnRenamed("lang", "bands")).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (2, 2, True), (2, 2, True), (4, 2, False)]
+
+
+def test_hot_keys_very_long_texts_and_clashing_names(spark, monkeypatch):
+    """With small bounds every join for hot keys is taken."""
+    monkeypatch.setattr(state, "FEW", 3)
+    monkeypatch.setattr("recordloom.llm.neardup.PAIRS", 2)
+    rng = random.Random(11)
+    long = " ".join(sentence(rng, 40_000, 10**6))
+    base = sentence(rng, 60)
+    texts = [" ".join(base)] * 6 + [long, long + " end", None, ""]
+    for _ in range(12):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = documents(spark, texts).withColumnRenamed("lang", "comp").withColumnRenamed("source", "band")
+    rows = near_duplicates(docs, k=4).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == brute(texts, 4)
+    kept = without_near_duplicates(docs, k=4)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _, _, keep in brute(texts, 4) if keep})

@@ -35,3 +35,11 @@ def test_edges(spark):
     assert judge_urls(pages.limit(0), none).count() == 0
     odd = rule_table(spark, [("block", "", "/"), ("block", None, "/"), ("block", "org", None)])
     assert {r.verdict for r in judge_urls(pages, odd).collect()} == {"allow", "block"}
+
+
+def test_many_rules_of_one_host_long_urls_and_repeated_rows(spark):
+    rules = [("block" if i % 3 else "allow", "a.org", f"/{i:05}/") for i in range(20_000)]
+    urls = [f"http://www.a.org/{i:05}/x" for i in range(0, 20_000, 997)] + ["http://a.org/00001/" + "y" * 1_000_000, "http://a.org/00001", "http://a.org/00001"]
+    pages = spark.createDataFrame([(7, u, "r") for u in urls], "page_id long, url string, rule string")
+    got = sorted(repr(tuple(r)[1:]) for r in judge_urls(pages, rule_table(spark, rules)).collect())
+    assert got == sorted(repr(tuple(brute(u, rules))) for u in urls)
